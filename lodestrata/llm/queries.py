@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality
+from . import chat, packing, quality, substring
 from .session import documents
 
 QUERIES: dict = {}
@@ -22,6 +22,28 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query(
+    "op2_substring_dedup",
+    """
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT doc_id, p, md5(list_aggregate(w[p : p + 49], 'string_agg', ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50)
+    ), firsts AS (
+        SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+    ), covered AS (
+        SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS gone FROM windows JOIN firsts USING (h) WHERE first < doc_id GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(list_aggregate([w[i] for i in range(1, len(w) + 1) if gone IS NULL OR NOT list_contains(gone, i)], 'string_agg', ' '), '')) AS kept_sha256
+    FROM words LEFT JOIN covered USING (doc_id)
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.cut_repeats(documents(spark, sf_dir))
+
+
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
