@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, substring
+from . import chat, packing, quality, simhash, substring, vectors
 from .session import documents
 
 QUERIES: dict = {}
@@ -49,6 +49,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 _SAID = "</s>[INST] ok [/INST]"
 _ESCAPE = "replace(replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<s>', '\\<s>'), '<s!>', '\\<s!>'), '</s>', '\\</s>'), '[INST]', '\\[INST]'), '[/INST]', '\\[/INST]')"
 
@@ -80,6 +85,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(added))
 
 
+@query(
+    "op9_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+    ), reach(a, b) AS (
+        SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+    ), least AS (
+        SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+    ), degree AS (
+        SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+    )
+    SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(component_id, vec_id) AS BIGINT) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op10_sum_of_squares_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
