@@ -66,16 +66,16 @@ class FollowTheLeader:
         self.n[at] += gradient**2
 
 
-def fit(labelled: DataFrame, bits: int = BITS, most: int = 6000, rounds: int = 3) -> np.ndarray:
-    """Weights learned from (doc_id, text, label); the intercept comes last.
+def fit(docs: DataFrame, known: DataFrame, bits: int = BITS, most: int = 4000, rounds: int = 3) -> np.ndarray:
+    """Weights learned from docs (doc_id, text) and known labels (doc_id, label); the intercept comes last.
 
-    Learns from at most `most` documents: those whose doc_id hashes lowest, so the choice doesn't depend on partitions.
-    Rows with a null label are left out; with no labelled row all weights are 0 and every score is a half.
+    Learns from the documents of at most `most` labels: those whose doc_id hashes lowest, so the choice doesn't depend
+    on partitions. It is made on ids alone, before texts are read, and what is broadcast has `most` rows. Rows with a
+    null label are left out; with no labelled row all weights are 0 and every score is a half. A repeated doc_id counts once, with its least text.
     """
-    rows = labelled.where("label is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")
-    )
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(most).toPandas()
+    chosen = known.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toPandas().sort_values("doc_id")
     model, size = FollowTheLeader(bits), 1 << bits
     ready = []
     for low in range(0, len(sample), 500):
@@ -118,7 +118,7 @@ def remainder(doc_id: str, by: int):
     return F.crc32(F.col(doc_id).cast("string")) % by
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 4000) -> DataFrame:
     """Score all documents, learning from the labelled ones outside the held-out quarter.
 
     One row per row of `docs`: doc_id, held_out, score, predicted. A null doc_id is not held out (and has no label).
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: i
     """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    weights = fit(rows.join(known.where(remainder("doc_id", 4) != 2), "doc_id"), most=most)
+    weights = fit(rows, known.where(remainder("doc_id", 4) != 2), most=most)
     return score(rows, weights).select(
         "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
