@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, quality, secret_scan, simhash, substring, vectors
+from . import chat, language, packing, pii, quality, secret_scan, simhash, substring, vectors
 from .session import documents
 
 QUERIES: dict = {}
@@ -54,6 +54,72 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+_KIND_SQL = """
+    SELECT doc_id, rid, {k} AS kind, unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(p[2:]) AS tail, unnest(range(len(m))) AS i FROM (
+        SELECT doc_id, rid, regexp_extract_all(text, '{re}') AS m, string_split_regex(text, '{re}') AS p FROM docs)
+"""
+_PLAIN = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    r"[0-9](?:[ -]?[0-9])+",
+    r"\+[0-9][ ().0-9-]+[0-9]",
+)
+
+
+@query(
+    "op5_pii",
+    f"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+    ), hits AS (
+        {" UNION ALL ".join(_KIND_SQL.format(k=k, re=x) for k, x in enumerate(_PLAIN))}
+    ), placed AS (
+        SELECT *, CAST(sum(length(piece) + length(value)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM hits
+    ), base AS (
+        SELECT doc_id, rid, kind, value, stop - length(value) AS start, stop, right(piece, 80) AS lead, left(tail, 80) AS tail FROM placed WHERE CASE kind
+            WHEN 0 THEN true
+            WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0
+            WHEN 2 THEN length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (length(d) - j) % 2 = 0 THEN CAST(d[j] AS INT) ELSE (CAST(d[j] AS INT) * 2) % 10 + (CAST(d[j] AS INT) * 2) // 10 END for j in range(1, length(d) + 1)]) % 10 = 0
+            ELSE length(d) BETWEEN 9 AND 15 END
+    ), seen AS (
+        SELECT rid, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(value) AS entity,
+            list_reverse([w for w in regexp_extract_all(lower(CASE WHEN length(lead) >= 80 THEN regexp_replace(lead, '^\p{{L}}+', '') ELSE lead END), '\p{{L}}+') if length(w) >= 3])[:5]
+            || [w for w in regexp_extract_all(lower(CASE WHEN length(tail) >= 80 THEN regexp_replace(tail, '\p{{L}}+$', '') ELSE tail END), '\p{{L}}+') if length(w) >= 3][:5] AS words
+        FROM base
+    ), together AS (
+        SELECT entity, term, count(DISTINCT rid) AS co FROM (SELECT rid, entity, unnest(words) AS term FROM seen) GROUP BY ALL HAVING count(DISTINCT rid) >= 3
+    ), entity_df AS (
+        SELECT entity, count(DISTINCT rid) AS df_entity FROM seen GROUP BY entity
+    ), term_df AS (
+        SELECT term, count(*) AS df_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}+'))) AS term FROM docs) GROUP BY term
+    ), judged AS (
+        SELECT entity, term FROM together JOIN entity_df USING (entity) JOIN term_df USING (term), (SELECT count(*) AS n FROM docs)
+        WHERE df_entity < n AND ln(CAST(n AS DOUBLE) * co / (CAST(df_entity AS DOUBLE) * df_term)) >= 0.9 * ln(CAST(n AS DOUBLE) / df_entity)
+    ), told AS (
+        SELECT DISTINCT rid, term FROM seen JOIN judged USING (entity)
+    ), said AS (
+        SELECT doc_id, rid, unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(range(len(m))) AS i FROM (
+            SELECT doc_id, rid, regexp_extract_all(text, '\p{{L}}+') AS m, string_split_regex(text, '\p{{L}}+') AS p FROM docs WHERE rid IN (SELECT rid FROM told))
+    ), spans AS (
+        SELECT rid, kind, start, stop FROM base
+        UNION ALL
+        SELECT s.rid, 4, s.stop - length(s.value), s.stop FROM (SELECT *, CAST(sum(length(piece) + length(value)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS stop FROM said) s
+        JOIN told ON s.rid = told.rid AND lower(s.value) = told.term
+    ), named AS (
+        SELECT *, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop AS name FROM spans
+    ), by_doc AS (
+        SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+            string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 4) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans FROM named GROUP BY rid
+    )
+    SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN by_doc USING (rid)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, sf_dir))

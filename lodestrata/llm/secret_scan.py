@@ -141,7 +141,7 @@ def _secrets(draw: np.random.Generator) -> tuple[str, str, str]:
     return forms[int(draw.integers(len(forms)))]()
 
 
-def fit(docs: DataFrame, most: int = 500, rounds: int = 3, piece: int = 40) -> Field:
+def fit(docs: DataFrame, most: int = 500, rounds: int = 8, piece: int = 40) -> Field:
     """Learn the field from the `most` documents (doc_id, text) whose doc_id hashes lowest.
 
     Secrets in them are what the fixed patterns find; made-up ones of several forms are put between their words, so
