@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, pii, quality, secret_scan, simhash, substring, vectors
+from . import chat, decontaminate, language, packing, pii, quality, secret_scan, simhash, substring, vectors
 from .session import documents
 
 QUERIES: dict = {}
@@ -22,6 +22,39 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _seed_sql(table: str, key: str) -> str:
+    """Positions and seeds of a table's words w, mask by mask."""
+    kept = [" || ' ' || ".join(f"w[i + {k}]" for k in mask) for mask in decontaminate.MASKS]
+    return " UNION ALL ".join(
+        f"SELECT {key}, {m} AS mask, unnest(range(1, len(w) - 8)) AS i, unnest([{seed} for i in range(1, len(w) - 8)]) AS seed FROM {table} WHERE len(w) >= 10" for m, seed in enumerate(kept)
+    )
+
+
+@query(
+    "op1_benchmark_decontamination",
+    f"""
+    WITH d AS (
+        SELECT doc_id, [x for x in string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM documents
+    ), b AS (
+        SELECT item_id, [x for x in string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM benchmark
+    ), ds AS ({_seed_sql("d", "doc_id")}
+    ), bs AS ({_seed_sql("b", "item_id")}
+    ), met AS (
+        SELECT doc_id, item_id, ds.i AS di, bs.i AS bi FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+    ), judged AS (
+        SELECT met.*, least(20, len(b.w)) AS compared, greatest(0, least(bi - 1 - 5, len(b.w) - least(20, len(b.w)))) AS start, b.w AS g, d.w AS h
+        FROM met JOIN b USING (item_id) JOIN d USING (doc_id)
+    ), agreed AS (
+        SELECT *, len([j for j in range(start, start + compared) if di - bi + j >= 0 AND coalesce(g[j + 1] = h[di - bi + j + 1], false)]) AS agreed FROM judged
+    )
+    SELECT doc_id, item_id, CAST(max(agreed) AS BIGINT) AS agreed, CAST(max(compared) AS BIGINT) AS compared, count(*) AS n_hits
+    FROM agreed WHERE agreed >= ceil(compared * 0.8) GROUP BY doc_id, item_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query(
     "op2_substring_dedup",
     """
@@ -83,15 +116,15 @@ _PLAIN = (
             ELSE length(d) BETWEEN 9 AND 15 END
     ), seen AS (
         SELECT rid, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(value) AS entity,
-            list_reverse([w for w in regexp_extract_all(lower(CASE WHEN length(lead) >= 80 THEN regexp_replace(lead, '^\p{{L}}+', '') ELSE lead END), '\p{{L}}+') if length(w) >= 3])[:5]
-            || [w for w in regexp_extract_all(lower(CASE WHEN length(tail) >= 80 THEN regexp_replace(tail, '\p{{L}}+$', '') ELSE tail END), '\p{{L}}+') if length(w) >= 3][:5] AS words
+            list_reverse([w for w in regexp_extract_all(lower(CASE WHEN length(lead) >= 80 THEN regexp_replace(lead, '^\\p{{L}}+', '') ELSE lead END), '\\p{{L}}+') if length(w) >= 3])[:5]
+            || [w for w in regexp_extract_all(lower(CASE WHEN length(tail) >= 80 THEN regexp_replace(tail, '\\p{{L}}+$', '') ELSE tail END), '\\p{{L}}+') if length(w) >= 3][:5] AS words
         FROM base
     ), together AS (
         SELECT entity, term, count(DISTINCT rid) AS co FROM (SELECT rid, entity, unnest(words) AS term FROM seen) GROUP BY ALL HAVING count(DISTINCT rid) >= 3
     ), entity_df AS (
         SELECT entity, count(DISTINCT rid) AS df_entity FROM seen GROUP BY entity
     ), term_df AS (
-        SELECT term, count(*) AS df_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}+'))) AS term FROM docs) GROUP BY term
+        SELECT term, count(*) AS df_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS term FROM docs) GROUP BY term
     ), judged AS (
         SELECT entity, term FROM together JOIN entity_df USING (entity) JOIN term_df USING (term), (SELECT count(*) AS n FROM docs)
         WHERE df_entity < n AND ln(CAST(n AS DOUBLE) * co / (CAST(df_entity AS DOUBLE) * df_term)) >= 0.9 * ln(CAST(n AS DOUBLE) / df_entity)
@@ -99,7 +132,7 @@ _PLAIN = (
         SELECT DISTINCT rid, term FROM seen JOIN judged USING (entity)
     ), said AS (
         SELECT doc_id, rid, unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(range(len(m))) AS i FROM (
-            SELECT doc_id, rid, regexp_extract_all(text, '\p{{L}}+') AS m, string_split_regex(text, '\p{{L}}+') AS p FROM docs WHERE rid IN (SELECT rid FROM told))
+            SELECT doc_id, rid, regexp_extract_all(text, '\\p{{L}}+') AS m, string_split_regex(text, '\\p{{L}}+') AS p FROM docs WHERE rid IN (SELECT rid FROM told))
     ), spans AS (
         SELECT rid, kind, start, stop FROM base
         UNION ALL
