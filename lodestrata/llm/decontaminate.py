@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded
+
 # Word offsets that each mask keeps; together they hit nearly every 16-word passage with three words changed.
 MASKS = ((0, 1, 6, 7, 8, 9), (0, 4, 5, 7, 8, 9), (0, 1, 3, 5, 6, 9), (0, 1, 3, 4, 7, 9))
 SPAN, WINDOW, LEAD, SHARE = 10, 20, 5, 0.8
@@ -76,5 +78,5 @@ def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no test item; rows with a null doc_id are judged by their texts together."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = bounded(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, F.col("_bad").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")

@@ -131,6 +131,25 @@ def fit(docs: DataFrame, per_language: int = 250, most_languages: int = 64, roun
     return Model(languages, train(flat, at, tokens[order], tags[order], field, rounds))
 
 
+def _predicted(texts: pa.Array, languages: list[str], weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each text: language, its score, number of words, number of switches."""
+    kind, first, words = word_kinds(texts)
+    n = np.diff(first)
+    if not len(kind) or not languages:
+        return np.full(len(n), UNKNOWN, dtype=object), np.zeros(len(n)), n, np.zeros(len(n), np.int64)
+    bits = (len(weights) - 1).bit_length()
+    scores = token_scores(weights, *word_features(words, bits))[kind]
+    marginal, _ = forward_backward(scores, moves, chains(first, CHAIN))
+    total = np.concatenate([np.zeros((1, len(languages))), np.cumsum(marginal, axis=0, dtype=np.float64)])
+    share = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, n)[:, None]
+    best = share.argmax(axis=1)
+    tag = marginal.argmax(axis=1)
+    turn = np.concatenate([[0, 0], np.cumsum(tag[1:] != tag[:-1])])
+    switches = np.where(n > 1, turn[first[1:]] - turn[np.minimum(first[:-1] + 1, len(tag))], 0)
+    named = np.where(n > 0, np.array(languages, dtype=object)[best], UNKNOWN)
+    return named, np.where(n > 0, np.clip(share[np.arange(len(n)), best], 0, 1), 0.0), n, switches
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, n_words, n_switches) of every row.
 
@@ -143,38 +162,43 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast((model.languages, model.field.weights, model.field.moves))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights, moves = shared.value
-        bits = (len(weights) - 1).bit_length()
         for frame in frames:
             texts, ids = as_strings(frame.column("text")), frame.column("doc_id")
             for low, high in slices(texts, 8 << 20):
-                kind, first, words = word_kinds(texts.slice(low, high - low))
-                n = np.diff(first)
-                if len(kind) and languages:
-                    scores = token_scores(weights, *word_features(words, bits))[kind]
-                    marginal, _ = forward_backward(scores, moves, chains(first, CHAIN))
-                    total = np.concatenate([np.zeros((1, len(languages))), np.cumsum(marginal, axis=0, dtype=np.float64)])
-                    share = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, n)[:, None]
-                    best = share.argmax(axis=1)
-                    tag = marginal.argmax(axis=1)
-                    turn = np.concatenate([[0, 0], np.cumsum(tag[1:] != tag[:-1])])
-                    switches = np.where(n > 1, turn[first[1:]] - turn[np.minimum(first[:-1] + 1, len(tag))], 0)
-                    named = np.where(n > 0, np.array(languages, dtype=object)[best], UNKNOWN)
-                    score = np.where(n > 0, np.clip(share[np.arange(len(n)), best], 0, 1), 0.0)
-                else:
-                    named, score, switches = np.full(len(n), UNKNOWN, dtype=object), np.zeros(len(n)), np.zeros(len(n), np.int64)
+                named, score, n, switches = _predicted(texts.slice(low, high - low), *shared.value)
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(named.tolist(), pa.string()), pa.array(score), pa.array(n.astype(np.int64)), pa.array(switches.astype(np.int64))], [c.split()[0] for c in _OUT.split(", ")])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, _OUT)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is known with a score of `least` or more. No row moves to another task."""
+    spark = docs.sparkSession
+    batches(spark)
+    shared = spark.sparkContext.broadcast((model.languages, model.field.weights, model.field.moves))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts = as_strings(frame.column("text"))
+            for low, high in slices(texts, 8 << 20):
+                named, score, _, _ = _predicted(texts.slice(low, high - low), *shared.value)
+                yield frame.slice(low, high - low).filter(pa.array((named != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of the rows outside the held-out third."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    return rows.where(remainder("doc_id", 3) != 1)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Predict every document's language, learning from those outside the held-out third.
 
     One row per row of `docs`: doc_id, held_out, lang_pred, score, n_words, n_switches. A null doc_id isn't held out and
     teaches nothing; with no labelled document every row is `und`. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    found = predict(rows, fit(rows.where(remainder("doc_id", 3) != 1)))
+    found = predict(docs, fit(training_rows(docs)))
     return found.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def batches(spark: SparkSession, rows: int = 4000, size: int = 24 << 20) -> None:
@@ -44,5 +45,11 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bounded(frame: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """A written copy of the frame, marked for broadcast if it has at most `most` rows; otherwise joins shuffle it."""
+    written = table(frame, name)
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

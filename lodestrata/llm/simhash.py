@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import blocks
@@ -160,3 +160,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = components(links)
     heads = nodes.join(groups, nodes["node"] == groups["node"], "left").select("fingerprint", F.coalesce("component", nodes["node"]).alias("component_id"))
     return found.join(heads, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """One row of each group: that of the least doc_id; of rows that share it, the one with the least text. Rows with a null doc_id that are linked to no other row stay."""
+    found = near_duplicates(docs)
+    heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(heads, docs["doc_id"].cast("long") == heads["_id"])
+    several = rows.where("_n > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_rank = 1")
+    lonely = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
+    kept = rows.where("_n = 1").select(docs.columns).unionByName(several.select(docs.columns))
+    if lonely.isEmpty():
+        return kept
+    nameless = docs.where("doc_id is null").groupBy("text").agg(*[F.first(c).alias(c) for c in docs.columns if c != "text"])
+    return kept.unionByName(nameless.select(docs.columns))
