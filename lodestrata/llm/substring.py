@@ -1,10 +1,11 @@
 """Repeated-phrase automata: find passages that documents share, and cut the later copies.
 
 1. Anchors. Of each 50-word window, the 16-word phrase with the least hash is its anchor: equal windows have equal anchors,
-   so a window can recur only if its anchor occurs in two documents. Anchors are one word in eighteen.
-2. Recurring windows. Windows at recurring anchors are hashed; the hashes that two documents have, with the lowest of
-   their doc_ids, the owner, give each document its runs of recurring windows. Only partial aggregates and joins by hash, so
-   a passage in a third of all documents is no hot group.
+   so a window can recur only if its anchor occurs in two documents. Neighbouring windows of one anchor are a run, about
+   eighteen windows; a row holds a run's anchor and the hash of all its words.
+2. Recurring runs. A run whose words an earlier document has, all of them, recurs as a whole; the first such document is
+   its owner. Where an anchor has runs of different words, the first document of each has its single windows hashed and compared.
+   That takes aggregates and joins by hash only, so a passage in a third of all documents is no hot group.
 3. Automata. The owners' runs are the phrase book. It is dealt into shards of bounded size; each shard is compiled to an
    Aho-Corasick automaton of the phrases at its anchors, and the other documents' runs stream through the shard that
    holds their owner, each hit grown to the whole common passage, word by word. An owner with very many runs has its shard on several tasks.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import batches, table
-from .words import U64, Words, as_strings, slices, window_hashes
+from .words import U64, Words, _spread, as_strings, mix, ragged, slices, window_hashes
 
 WINDOW, ANCHOR, PHRASE = 50, 16, 8
 SHARD_BYTES, STREAM_BYTES = 4 << 20, 32 << 20
@@ -51,32 +52,50 @@ def anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, row[at], least[at] if len(at) else np.zeros(0, U64)
 
 
-def _anchor_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: its text's number, first window's first word, number of windows, anchor and hash of all its words."""
+    at, row, anchor = anchored(words)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])]))
+    size = np.diff(np.concatenate([cut, [len(at)]]))
+    begin = at[cut]
+    whole = mix(_spread(words.hashes(), begin, begin + size + WINDOW - 1, 0xD1342543DE82EF95) + size.astype(U64))
+    return row[cut], begin, size, anchor[cut].view(np.int64), whole.view(np.int64)
+
+
+def _all_runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         texts, ids = as_strings(frame.column("text")), frame.column("doc_id").to_numpy(zero_copy_only=False)
         for low, high in slices(texts):
-            _, row, anchor = anchored(Words(texts.slice(low, high - low)))
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(ids[low:high][row[new]].astype(np.int64))], ["anchor", "doc_id"])
+            row, _, _, anchor, whole = _runs(Words(texts.slice(low, high - low)))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(ids[low:high][row].astype(np.int64))], ["anchor", "whole", "doc_id"])
 
 
 def _windows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of the runs that are asked for."""
     for frame in frames:
         texts = as_strings(frame.column("text"))
         ids, keys = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
-        lists = frame.column("anchors")
+        asked = frame.column("asked")
         for low, high in slices(texts):
             words = Words(texts.slice(low, high - low))
-            at, row, anchor = anchored(words)
-            begin = np.searchsorted(row, np.arange(high - low + 1))
-            wanted = np.zeros(len(at), dtype=bool)
+            row, begin, size, anchor, whole = _runs(words)
+            first = np.searchsorted(row, np.arange(high - low + 1))
+            wanted = np.zeros(len(row), dtype=bool)
             for r in range(high - low):
-                wanted[begin[r] : begin[r + 1]] = np.isin(anchor[begin[r] : begin[r + 1]].view(np.int64), lists[low + r].values.to_numpy())
-            at, row = at[wanted], row[wanted] + low
+                own = slice(first[r], first[r + 1])
+                wanted[own] = np.isin(mix(anchor[own].view(U64)) ^ whole[own].view(U64), _pair_keys(asked[low + r].values))
+            row, begin, size = row[wanted], begin[wanted], size[wanted]
+            at = ragged(np.arange(len(words.start) + 1), begin, size)
+            row = np.repeat(row, size)
             window = window_hashes(words.hashes(), WINDOW)[at] if len(at) else np.zeros(0, U64)
-            place = at - words.first[row - low]
-            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array(keys[row].astype(np.int64)), pa.array(place.astype(np.int32))], ["window", "doc_id", "key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(ids[low + row].astype(np.int64)), pa.array(keys[low + row].astype(np.int64)), pa.array((at - words.first[row]).astype(np.int32))], ["window", "doc_id", "key", "place"])
+
+
+def _pair_keys(pairs: pa.StructArray) -> np.ndarray:
+    return mix(pairs.field("anchor").to_numpy().view(U64)) ^ pairs.field("whole").to_numpy().view(U64)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -86,30 +105,50 @@ def _digest(words: list[bytes]) -> str:
 def _pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = [c.split() for c in _PIECE.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
     for frame in frames:
-        out = []
-        for doc_id, key, text, runs in zip(*(frame.column(c).to_pylist() for c in ("doc_id", "key", "text", "runs"))):
-            body = (text or "").encode()
-            words = body.split()
-            if not runs:
-                out.append((_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
-                continue
-            places, owners = (np.array([x[c] for x in runs], dtype=np.int64) for c in ("place", "owner"))
-            order = np.argsort(places, kind="stable")
-            places, owners = places[order], owners[order]
-            cut = np.concatenate([[0], np.flatnonzero((np.diff(places) != 1) | (np.diff(owners) != 0)) + 1, [len(places)]])
-            others = False
-            for low, high in zip(cut[:-1], cut[1:]):
-                owner, start = int(owners[low]), int(places[low])
-                others |= owner != doc_id
-                passage = b" ".join(words[start : int(places[high - 1]) + WINDOW]).decode()
-                out.append((_PASSAGE if owner == doc_id else _RUN, owner, doc_id, key, start, passage, 0, None))
-            out.append((_WHOLE, None, doc_id, key, 0, text, len(words), None) if others else (_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
-            if len(out) >= 4000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out), fields)], [n for n, _ in fields])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*out), fields)], [n for n, _ in fields])
+        texts, out = as_strings(frame.column("text")), []
+        ids, keys, runs, singles = (frame.column(c) for c in ("doc_id", "key", "runs", "singles"))
+        for low, high in slices(texts):
+            some = Words(texts.slice(low, high - low))
+            row, begin, size, anchor, whole = _runs(some)
+            first = np.searchsorted(row, np.arange(high - low + 1))
+            for r in range(high - low):
+                doc_id, key, text = ids[low + r].as_py(), keys[low + r].as_py(), texts[low + r].as_py()
+                words = text.encode().split()
+                if runs[low + r].as_py() is None:
+                    out.append((_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
+                    continue
+                owners = np.full(max(0, len(words) - WINDOW + 1), -1, dtype=np.int64)  # by window; -1 for none
+                has_owner, told = np.zeros(len(owners), dtype=bool), np.zeros(len(owners), dtype=bool)
+                known = {(x["anchor"], x["whole"]): (x["owner"], x["shared"]) for x in runs[low + r].as_py()}
+                own = slice(first[r], first[r + 1])
+                for b, n, a, w in zip((begin[own] - some.first[r]).tolist(), size[own].tolist(), anchor[own].tolist(), whole[own].tolist()):
+                    owner, shared = known.get((a, w), (doc_id, False))
+                    if owner < doc_id:
+                        owners[b : b + n], has_owner[b : b + n] = owner, True
+                    elif shared:
+                        told[b : b + n] = True
+                for x in singles[low + r].as_py() or ():
+                    if x["key"] != key:  # of another text of this doc_id
+                        continue
+                    if x["owner"] < doc_id:
+                        owners[x["place"]], has_owner[x["place"]] = x["owner"], True
+                    else:
+                        told[x["place"]] = True
+                for kind, wanted, marks in ((_PASSAGE, told, told.astype(np.int64)), (_RUN, has_owner, owners)):
+                    edges = np.flatnonzero(np.concatenate([[True], (wanted[1:] != wanted[:-1]) | (marks[1:] != marks[:-1]), [True]])) if len(wanted) else np.zeros(0, int)
+                    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                        if wanted[b]:
+                            owner = doc_id if kind == _PASSAGE else int(owners[b])
+                            out.append((kind, owner, doc_id, key, b, b" ".join(words[b : e + WINDOW - 1]).decode(), 0, None))
+                out.append((_WHOLE, None, doc_id, key, 0, text, len(words), None) if has_owner.any() else (_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
+            yield batch(out)
+            out = []
 
 
 class PhraseBook:
@@ -214,17 +253,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _candidates(docs: DataFrame) -> DataFrame:
     """Pieces of all documents, see _PIECE: passages of owners, runs of others, whole texts of those that may lose words, and the others' results."""
-    spark = docs.sparkSession
     keyed = _keyed(docs)
-    pairs = table(keyed.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchor_pairs, "anchor long, doc_id long"), "anchors")
-    shared = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    lists = pairs.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    windows = keyed.join(lists, "doc_id").select("doc_id", "key", "text", "anchors").mapInArrow(_windows, "window long, doc_id long, key long, place int")
+    named = keyed.where("doc_id is not null")
+    all_runs = table(named.select("doc_id", "text").mapInArrow(_all_runs, "anchor long, whole long, doc_id long"), "runs")
+    anchors = all_runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("whole") != F.max("whole")).alias("mixed"))
+    shared = all_runs.join(anchors.where("a < b").select("anchor", "mixed"), "anchor")
+    firsts = shared.groupBy("anchor", "whole").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    runs = table(shared.join(firsts, ["anchor", "whole"]).select("doc_id", "anchor", "whole", "owner", (F.col("owner") < F.col("last")).alias("shared"), (F.col("mixed") & (F.col("owner") == F.col("doc_id"))).alias("open")), "shared-runs")
+    # The texts are shuffled once: both joins read the same exchange.
+    asked = runs.where("open").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole")).alias("asked"))
+    windows = named.join(asked, "doc_id").select("doc_id", "key", "text", "asked").mapInArrow(_windows, "window long, doc_id long, key long, place int")
     owners = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
-    runs = windows.join(owners, "window").groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "owner")).alias("runs"))
-    runs = runs.withColumnsRenamed({"doc_id": "run_doc", "key": "run_key"})
-    joined = keyed.join(runs, (keyed["doc_id"] == runs["run_doc"]) & (keyed["key"] == runs["run_key"]), "left")
-    return table(joined.select("doc_id", "key", "text", "runs").mapInArrow(_pieces, _PIECE), "pieces")
+    singles = windows.join(owners, "window").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "owner")).alias("singles"))
+    lists = runs.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole", "owner", "shared")).alias("runs"))
+    pieces = named.join(lists, "doc_id", "left").join(singles, "doc_id", "left").select("doc_id", "key", "text", "runs", "singles")
+    nameless = keyed.where("doc_id is null").select("doc_id", "key", "text", F.lit(None).cast(pieces.schema["runs"].dataType).alias("runs"), F.lit(None).cast(pieces.schema["singles"].dataType).alias("singles"))
+    return table(pieces.unionByName(nameless).mapInArrow(_pieces, _PIECE), "pieces")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
