@@ -69,8 +69,14 @@ def cache_control(immutable: Column) -> Column:
 
 
 def content_class(content_type: Column) -> Column:
-    kinds = F.when(content_type.startswith("image/"), "image").when(content_type.startswith("video/"), "video").when(content_type.startswith("audio/"), "audio")
-    return kinds.when(content_type.startswith("text/") | content_type.contains("json") | content_type.contains("xml"), "text").otherwise("other")
+    """How a viewer shows a content type."""
+    shown = F.lit(None).cast("string")
+    for family in ("audio", "video", "image"):
+        shown = F.when(content_type.startswith(f"{family}/"), family).otherwise(shown)
+    text = content_type.startswith("text/")
+    for part in ("json", "xml", "javascript", "markdown"):
+        text = text | content_type.contains(part)
+    return F.coalesce(shown, F.when(content_type == "application/pdf", "pdf").when(text, "text").otherwise("other"))
 
 
 def xml_escaped(text: Column) -> Column:

@@ -109,9 +109,9 @@ def folder_rollup(spark, sf_dir):
     return listing.folders(keys, "src1")
 
 
-@query("key_contains_filter", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'page/1')")
+@query("key_contains_filter", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.com/en')")
 def key_contains_filter(spark, sf_dir):
-    return listing.named(catalog.read(spark, sf_dir, "pages", "page_id", "url"), "PAGE/1", "url")
+    return listing.named(catalog.read(spark, sf_dir, "pages", "page_id", "url"), "Example.COM/en", "url")
 
 
 @query("sort_files", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
@@ -119,13 +119,16 @@ def sort_files(spark, sf_dir):
     return catalog.read(spark, sf_dir, "documents", "doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
+_TYPES = ("image/png", "video/mp4", "audio/ogg", "text/html", "application/json", "application/pdf", "application/octet-stream")
+
+
 @query(
     "content_classes",
-    """SELECT kind, count(*) AS n, human AS largest FROM (SELECT CASE WHEN ends_with(url, '.html') OR ends_with(url, '/') THEN 'text' ELSE 'other' END AS kind, '' AS human FROM pages) GROUP BY kind, human""",
+    """SELECT ['image', 'video', 'audio', 'text', 'text', 'pdf', 'other'][page_id % 7 + 1] AS kind, count(*) AS n FROM pages GROUP BY 1""",
 )
 def content_classes(spark, sf_dir):
-    kind = F.when(F.col("url").endswith(".html") | F.col("url").endswith("/"), "text/html").otherwise("application/octet-stream")
-    return catalog.read(spark, sf_dir, "pages", "url").groupBy(scalars.content_class(kind).alias("kind")).agg(F.count("*").alias("n"), F.lit("").alias("largest"))
+    kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("page_id") % 7).cast("int"))
+    return catalog.read(spark, sf_dir, "pages", "page_id").groupBy(scalars.content_class(kind).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(
