@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in built-in DataFrame functions only.
 
 A seed hashes six of ten neighbouring words, chosen by a fixed mask, so it survives changes to the words its mask leaves out. Seeds of all
-positions and masks of test items and training documents are joined by hash; around each hit the words on the hit's
-diagonal are compared, and a hit counts only if enough of them agree. The test items' seeds are broadcast in blocks of
-a fixed number of items' words, so the documents never shuffle: whatever the tables hold, what leaves a scan is hits.
+positions and masks of test items and training documents are joined by hash. A hit names a document, an item and the
+distance between them; along that distance the words are compared, and a hit counts only if enough of some window of the item agree.
+The test items' seeds are broadcast in blocks of a fixed number of items' words, so the documents don't shuffle for the
+search; they shuffle for the comparison only if the hits are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import bounded
+from .session import bounded, table
 
 # Word offsets that each mask keeps; together they hit nearly every 16-word passage with three words changed.
 MASKS = ((0, 1, 6, 7, 8, 9), (0, 4, 5, 7, 8, 9), (0, 1, 3, 5, 6, 9), (0, 1, 3, 4, 7, 9))
-SPAN, WINDOW, LEAD, SHARE = 10, 20, 5, 0.8
+SPAN, WINDOW, SHARE = 10, 20, 0.8
 BLOCK_WORDS = 1_000_000  # of test items a broadcast: their seeds take about 100 MB
+HIT_WORDS = 4_000_000  # of the items of all hits, for these to be broadcast: 32 MB
 
 
 def words(text: str) -> Column:
@@ -43,40 +45,52 @@ def _seeds(hashes: Column) -> Column:
 
 def _exploded(rows: DataFrame, key: str) -> DataFrame:
     """A row for each seed; the outer form, as the inner one has all seeds computed once more, by a filter for empty arrays."""
-    placed = rows.withColumn("seeds", _seeds(F.col("h"))).select(key, "h", F.posexplode_outer("seeds").alias("at", "seed"))
-    return placed.withColumn("place", F.floor(F.col("at") / len(MASKS)).cast("int")).drop("at")
+    placed = rows.select(key, "h").withColumn("seeds", _seeds(F.col("h"))).select(key, F.posexplode_outer("seeds").alias("at", "seed"))
+    return placed.select(key, "seed", F.floor(F.col("at") / len(MASKS)).cast("int").alias("place"))
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified hits: doc_id, item_id, place (the hit's first word in the document), agreed and compared words."""
-    train = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _hashed("text").alias("h"))
-    tests = items.select(items["item_id"].cast("long").alias("item_id"), _hashed("text").alias("h"))
-    seeds = _exploded(tests, "item_id").select("item_id", F.col("h").alias("g"), F.col("place").alias("item_place"), "seed")
-    hit = _exploded(train, "doc_id").join(F.broadcast(seeds), "seed")
-    hit = hit.withColumn("compared", F.least(F.lit(WINDOW), F.size("g")))
-    hit = hit.withColumn("begin", F.greatest(F.lit(0), F.least(F.col("item_place") - LEAD, F.size("g") - F.col("compared"))))
-    agree = lambda n, j: n + F.coalesce((F.get("g", j) == F.get("h", F.col("place") - F.col("item_place") + j)).cast("int"), F.lit(0))
-    hit = hit.withColumn("agreed", F.aggregate(F.sequence(F.col("begin"), F.col("begin") + F.col("compared") - 1), F.lit(0), agree))
-    return hit.where(F.col("agreed") >= F.ceil(F.col("compared") * SHARE)).select("doc_id", "item_id", "place", "agreed", "compared")
+def _hits(train: DataFrame, tests: DataFrame) -> DataFrame:
+    """key, item and distance of the places where seeds are equal."""
+    seeds = _exploded(tests, "item").withColumnRenamed("place", "item_place")
+    met = _exploded(train, "key").join(F.broadcast(seeds), "seed")
+    return met.select("key", "item", (F.col("place") - F.col("item_place")).alias("distance")).distinct()
+
+
+def _agreed(g: Column, h: Column, distance: Column) -> Column:
+    """The most words that agree in a window of the item."""
+    same = F.transform(g, lambda x, j: F.coalesce((x == F.get(h, distance + j)).cast("int"), F.lit(0)))
+    width = F.least(F.lit(WINDOW), F.size(g))
+    best = lambda f: F.array_max(F.transform(F.sequence(F.lit(0), F.size(g) - width), lambda k: F.aggregate(F.slice(f, k + 1, width), F.lit(0), lambda n, x: n + x)))
+    return F.get(F.transform(F.array(same), best), 0)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, agreed, compared, n_hits): each document and test item with a verified overlap, and the best agreement.
+    """(doc_id, item_id, agreed, compared): each document and test item with a verified overlap, and the best agreement.
 
-    A hit is verified if, of the WINDOW item words around it (all of a shorter item), SHARE agree with the document's at
-    the same distance. Items of fewer than SPAN words, and null texts, match nothing; tables may be empty. Rows that
-    share a doc_id or an item_id are one document or item in the result; null ids are kept. Other columns are ignored.
+    A hit is verified if in some window of WINDOW words of the item (all of a shorter one) a share of SHARE agree with
+    the document's words at the hit's distance. Items of fewer than SPAN words, and null texts, match nothing; tables may be empty. Rows
+    that share a doc_id or an item_id are one document or item in the result; null ids are kept. Other columns are ignored.
     Items beyond `block_words` words together are searched for block by block, each over all documents.
     """
-    sized = items.select("item_id", "text", F.size(words("text")).cast("long").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    train = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    tests = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
+    tests = table(tests.select("item_id", F.xxhash64("item_id", "text").alias("item"), _hashed("text").alias("h")), "items")
+    total = tests.agg(F.sum(F.size("h"))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
-    found = [hits(docs, items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)) for k in range(blocks)]
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("compared").cast("long").alias("compared"), F.count("*").alias("n_hits"))
+    hashed = train.select("key", _hashed("text").alias("h"))
+    found = [_hits(hashed, tests if blocks == 1 else tests.where(F.pmod("item", F.lit(blocks)) == k)) for k in range(blocks)]
+    words_of = tests.groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("h").alias("g"))
+    hits = table(reduce(DataFrame.unionByName, found).join(words_of, "item"), "hits")
+    by_key = hits.groupBy("key").agg(F.collect_list(F.struct("item_id", "distance", "g")).alias("hits"))
+    if (hits.agg(F.sum(F.size("g") + 4)).first()[0] or 0) <= HIT_WORDS:
+        by_key = F.broadcast(by_key)
+    rows = train.join(by_key, "key").select("doc_id", "hits", _hashed("text").alias("h"))
+    judged = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), _agreed(x["g"], F.col("h"), x["distance"]).alias("agreed"), F.least(F.lit(WINDOW), F.size(x["g"])).alias("compared")))
+    judged = rows.select("doc_id", F.explode_outer(judged).alias("x")).select("doc_id", "x.item_id", "x.agreed", "x.compared").where(F.col("agreed") >= F.ceil(F.col("compared") * SHARE))
+    return judged.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("compared").cast("long").alias("compared"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no test item; rows with a null doc_id are judged by their texts together."""
-    bad = bounded(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("_bad").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")
+    bad = bounded(contaminated(docs, items).select(F.col("doc_id").alias("_lodestrata_bad")).distinct(), "contaminated")
+    return docs.join(bad, F.col("_lodestrata_bad").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")

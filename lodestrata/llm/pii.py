@@ -161,12 +161,14 @@ def _digest(rows: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data out of the text: matches as [EMAIL], [IP], [CARD] or [PHONE], disclosing
-    terms as [TERM], or removed where they disclose an entity wholly. n_chars, if there, is the new length.
+    terms as [TERM], or removed where they disclose an entity wholly. n_chars, if there, is the changed texts' new length.
 
     Null text stays null. Rows without personal data are passed on as they are.
     """
-    original = F.col("text")
-    found = table(entities(docs.withColumn("_null", original.isNull())), "entities")
+    columns = docs.columns
+    # The other columns travel as one struct, so that none of their names can clash with those made here.
+    row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in columns if c != "text"]).alias("row")
+    found = table(entities(docs.select(row, docs["text"], docs["text"].isNull().alias("empty"))), "entities")
     told = _told(found.where(_any()), disclosing(found.where(_any()), docs))
     rich = found.where(_any()).join(told, "rid", "left")
     words = F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0))
@@ -178,11 +180,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rich = rich.withColumn("text", F.when(F.size("terms") > 0, F.array_join(F.zip_with("_s", "_w", inner), "")).otherwise(F.col("text")))
     for kind, where in _conditions().items():
         rich = _masked(rich, kind, where)
-    columns = docs.columns
-    poor = found.where(~_any()).withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    if "n_chars" in columns:
-        rich = rich.withColumn("n_chars", F.length("text").cast("long"))
-    return rich.select(columns).unionByName(poor.select(columns))
+    poor = found.where(~_any()).withColumn("text", F.when(~F.col("empty"), F.col("text")))
+    restored = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
+    counted = [F.length("text").cast("long").alias(c) if c == "n_chars" else x for c, x in zip(columns, restored)]
+    return rich.select(counted).unionByName(poor.select(restored))
 
 
 def _masked(rows: DataFrame, kind: str, where: Column) -> DataFrame:

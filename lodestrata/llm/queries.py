@@ -40,14 +40,15 @@ def _seed_sql(table: str, key: str) -> str:
     ), ds AS ({_seed_sql("d", "doc_id")}
     ), bs AS ({_seed_sql("b", "item_id")}
     ), met AS (
-        SELECT doc_id, item_id, ds.i AS di, bs.i AS bi FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+        SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS distance FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
     ), judged AS (
-        SELECT met.*, least(20, len(b.w)) AS compared, greatest(0, least(bi - 1 - 5, len(b.w) - least(20, len(b.w)))) AS start, b.w AS g, d.w AS h
+        SELECT doc_id, item_id, least(20, len(b.w)) AS compared,
+            [CASE WHEN j + distance > 0 AND coalesce(b.w[j] = d.w[j + distance], false) THEN 1 ELSE 0 END for j in range(1, len(b.w) + 1)] AS same
         FROM met JOIN b USING (item_id) JOIN d USING (doc_id)
     ), agreed AS (
-        SELECT *, len([j for j in range(start, start + compared) if di - bi + j >= 0 AND coalesce(g[j + 1] = h[di - bi + j + 1], false)]) AS agreed FROM judged
+        SELECT *, list_max([list_sum(same[k : k + compared - 1]) for k in range(1, len(same) - compared + 2)]) AS agreed FROM judged
     )
-    SELECT doc_id, item_id, CAST(max(agreed) AS BIGINT) AS agreed, CAST(max(compared) AS BIGINT) AS compared, count(*) AS n_hits
+    SELECT doc_id, item_id, CAST(max(agreed) AS BIGINT) AS agreed, CAST(max(compared) AS BIGINT) AS compared
     FROM agreed WHERE agreed >= ceil(compared * 0.8) GROUP BY doc_id, item_id
     """,
 )

@@ -163,14 +163,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def distinct(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the least doc_id; of rows that share it, the one with the least text. Rows with a null doc_id that are linked to no other row stay."""
+    """One row of each group: that of the least doc_id; of rows that share it, the one with the least text.
+
+    Rows with a null doc_id are in no group; of those with one text, one stays.
+    """
     found = near_duplicates(docs)
-    heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(heads, docs["doc_id"].cast("long") == heads["_id"])
-    several = rows.where("_n > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_rank = 1")
-    lonely = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-    kept = rows.where("_n = 1").select(docs.columns).unionByName(several.select(docs.columns))
-    if lonely.isEmpty():
-        return kept
+    heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_lodestrata_n")).withColumnRenamed("doc_id", "_lodestrata_id")
+    rows = docs.join(heads, docs["doc_id"].cast("long") == heads["_lodestrata_id"])
+    several = rows.where("_lodestrata_n > 1").withColumn("_lodestrata_rank", F.row_number().over(Window.partitionBy("_lodestrata_id").orderBy("text"))).where("_lodestrata_rank = 1")
+    kept = rows.where("_lodestrata_n = 1").select(docs.columns).unionByName(several.select(docs.columns))
     nameless = docs.where("doc_id is null").groupBy("text").agg(*[F.first(c).alias(c) for c in docs.columns if c != "text"])
     return kept.unionByName(nameless.select(docs.columns))
