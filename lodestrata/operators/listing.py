@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .versions import current
@@ -54,3 +54,16 @@ def all_pots(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         pots = pots.union(t.select("pot"))
     return pots.distinct().orderBy("pot")
+
+
+def hits_by_pot(hits: DataFrame) -> DataFrame:
+    """Search hits per pot, best first; hits without a place are under `unknown`."""
+    pot = F.coalesce("pot", F.lit("unknown"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "object_id")))
+    return hits.groupBy(pot.alias("pot")).agg(F.count("*").alias("n"), F.transform(ranked, lambda x: x["object_id"]).alias("objects"))
+
+
+def chunk_offsets(rows: DataFrame, *order: str) -> DataFrame:
+    """Where each chunk begins in its object, from (object_id, size) rows in the given order."""
+    w = Window.partitionBy("object_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0)))

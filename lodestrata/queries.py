@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import hashing, scalars
 from lodestrata.functions.chunking import chunk
-from lodestrata.operators import gc, integrity, listing, multipart, policy, search, sync, versions
+from lodestrata.operators import access, gc, integrity, listing, multipart, policy, search, sync, versions
 from lodestrata.plans import maintenance
 from lodestrata.sources import catalog
 from lodestrata.streaming import events as streams
@@ -576,6 +576,92 @@ def valid_names(spark, sf_dir):
     return rows.select("page_id", scalars.valid_key(F.lit("pages"), F.col("url")).alias("key_ok"), scalars.valid_pot(F.col("url")).alias("pot_ok"))
 
 
+_KEYS = [("a", "sa", True, []), ("b", "sb", False, []), ("c", "sc", False, ["BUILDING"]), ("d", "sd", False, [])]
+
+
+def _access_keys(spark):
+    return spark.createDataFrame([(*k, "2026-01-01T00:00:00Z") for k in _KEYS], "access_key string, secret_key string, read_only boolean, pots array<string>, created_at string")
+
+
+@query(
+    "key_listing",
+    """SELECT * FROM (VALUES ('a', true, 0, false), ('b', false, 0, true), ('c', false, 1, false), ('d', false, 0, true)) t(access_key, read_only, n_pots, owner)""",
+)
+def key_listing(spark, sf_dir):
+    return access.redacted(_access_keys(spark)).select("access_key", "read_only", F.size("pots").alias("n_pots"), "owner")
+
+
+@query("signing_secret", "SELECT 'sb' AS secret")
+def signing_secret(spark, sf_dir):
+    return access.signing_secret(_access_keys(spark))
+
+
+@query("presigned_links", "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 2 = 0 AS valid FROM documents")
+def presigned_links(spark, sf_dir):
+    """Links of documents: every third has run out, every other has a forged signature."""
+    rows = catalog.read(spark, sf_dir, "documents", "doc_id", "source").crossJoin(F.broadcast(access.signing_secret(_access_keys(spark))))
+    expires, key = F.when(F.col("doc_id") % 3 == 0, 99).otherwise(100), F.col("doc_id").cast("string")
+    given = scalars.presigned(F.col("secret"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, key).otherwise("forged"), expires)
+    return rows.select("doc_id", scalars.presign_valid(F.col("secret"), F.col("source"), key, expires, given, F.lit(100)).alias("valid"))
+
+
+@query(
+    "webhook_ids",
+    """SELECT page_id, substr(sha256(url || ':' || (1700000000 + page_id)), 1, 16) AS id FROM pages""",
+)
+def webhook_ids(spark, sf_dir):
+    return catalog.read(spark, sf_dir, "pages", "page_id", "url").select("page_id", access.webhook_id(F.col("url"), F.col("page_id") + 1700000000).alias("id"))
+
+
+@query(
+    "metrics_lines",
+    """SELECT name, 'catalog_' || name || ' ' || value AS line FROM (SELECT 'unique_chunks' AS name, count(*) AS value FROM part UNION ALL SELECT 'physical_bytes', CAST(sum(p_size) AS BIGINT) FROM part)""",
+)
+def metrics_lines(spark, sf_dir):
+    return access.metrics(catalog.stored(spark, sf_dir).agg(F.count("*").alias("unique_chunks"), F.sum("size").alias("physical_bytes")))
+
+
+@query(
+    "annotation_upsert",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'old' END AS note, quality = 1 AS favorite FROM labels WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0""",
+)
+def annotation_upsert(spark, sf_dir):
+    rows = catalog.read(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.lit("old").alias("note"), (F.col("quality") == 1).alias("favorite"))
+    return versions.upserted(rows.where("doc_id % 7 <> 0"), rows.where("doc_id % 5 = 0").withColumn("note", F.lit("new")), "doc_id")
+
+
+@query(
+    "annotation_defaults",
+    """SELECT d.doc_id, coalesce(quality = 1, false) AS favorite, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, '') AS note FROM documents d LEFT JOIN labels USING (doc_id)""",
+)
+def annotation_defaults(spark, sf_dir):
+    notes = catalog.read(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select("doc_id", (F.col("quality") == 1).alias("favorite"), F.when(F.col("toxic") == 1, "toxic").alias("note"))
+    return versions.with_default(catalog.read(spark, sf_dir, "documents", "doc_id"), notes, "doc_id", {"favorite": F.lit(False), "note": F.lit("")})
+
+
+@query("droppable_pots", f"WITH {LOG} SELECT n_name AS pot FROM nation WHERE n_name NOT IN (SELECT pot FROM log)")
+def droppable_pots(spark, sf_dir):
+    return versions.droppable_pots(catalog.read(spark, sf_dir, "nation").select(F.col("n_name").alias("pot")), catalog.pointer_log(spark, sf_dir))
+
+
+@query("has_chunks", "SELECT item_id, 'sha256:' || sha256(text) IN (SELECT 'sha256:' || sha256(text) FROM documents) AS there FROM benchmark UNION ALL SELECT -1, true")
+def has_chunks(spark, sf_dir):
+    have = catalog.read(spark, sf_dir, "documents", "text").select(hashing.address(F.col("text")).alias("hash")).distinct().withColumn("_there", F.lit(True))
+    wanted = catalog.read(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", hashing.address(F.col("text")).alias("hash"))
+    first = catalog.read(spark, sf_dir, "documents", "doc_id", "text").where("doc_id = 0").select(F.lit(-1).cast("long").alias("item_id"), hashing.address(F.col("text")).alias("hash"))
+    return wanted.unionByName(first).join(have, "hash", "left").select("item_id", F.col("_there").isNotNull().alias("there"))
+
+
+@query(
+    "chunk_offsets",
+    f"""SELECT object_id, chunk, CAST(coalesce(sum(size) OVER (PARTITION BY object_id ORDER BY {LINES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM (SELECT l_orderkey AS object_id, l_partkey AS chunk, p_size AS size, {LINES} FROM lineitem JOIN part ON l_partkey = p_partkey)""",
+)
+def chunk_offsets(spark, sf_dir):
+    rows = catalog.chunk_rows(spark, sf_dir).withColumn("l_partkey", F.col("chunk")).join(catalog.stored(spark, sf_dir), "chunk")
+    return listing.chunk_offsets(rows, *catalog.LINE_ORDER).select("object_id", "chunk", "offset")
+
+
 # Search
 
 
@@ -620,6 +706,18 @@ def search_enriched(spark, sf_dir):
     return search.enriched(hits, versions.first_location(places))
 
 
+@query(
+    "hits_by_pot",
+    f"""WITH hits AS (SELECT vec_id AS object_id, {_SCORE} AS score FROM embeddings ORDER BY {_SCORE} DESC, vec_id LIMIT 50)
+    SELECT coalesce(source, 'unknown') AS pot, count(*) AS n, string_agg(CAST(object_id AS VARCHAR), ',' ORDER BY score DESC, object_id) AS objects
+    FROM hits LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) ON doc_id = object_id GROUP BY 1""",
+)
+def hits_by_pot(spark, sf_dir):
+    d = catalog.read(spark, sf_dir, "documents", "doc_id", "source").where("doc_id % 2 = 0").select(F.col("doc_id").alias("object_id"), F.col("source").alias("pot"))
+    found = listing.hits_by_pot(search.enriched(search.top_k(_vectors(spark, sf_dir), _QUERY, 50), d))
+    return found.withColumn("objects", F.array_join(F.transform("objects", lambda x: x.cast("string")), ","))
+
+
 # Multipart
 
 
