@@ -145,3 +145,8 @@ def merkle_verify(chunk: Column, steps: Column, root: Column) -> Column:
     """Does the path lead from the chunk to the root?"""
     folded = F.aggregate(steps, merkle_leaf(chunk), lambda at, s: F.when(s["side"] == "left", merkle_node(F.unhex(s["hash"]), at)).otherwise(merkle_node(at, F.unhex(s["hash"]))))
     return folded == root
+
+
+def object_root(declared: Column, chunks: Column) -> Column:
+    """The declared root as hex, computed only where there is none."""
+    return F.coalesce(declared, F.lower(F.hex(merkle_root(chunks))))

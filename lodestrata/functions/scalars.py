@@ -133,3 +133,16 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(square(a)) * F.sqrt(square(b))
     return F.when(size == 0, 0.0).otherwise(dot / size)
+
+
+def status_of(error: Column) -> Column:
+    """The HTTP status for an error's name: the caller's own mistakes have one, the rest are the server's."""
+    told = {"Locked": 409, "TooLarge": 413, "Forbidden": 403, **dict.fromkeys(("InvalidKey", "InvalidPart", "BadBucket", "Upload"), 400)}
+    status = F.when(error.isNull(), 200)
+    for name, code in told.items():
+        status = status.when(error == name, code)
+    return status.otherwise(500)
+
+
+def upload_id(pot: Column, key: Column, seconds: Column, number: Column) -> Column:
+    return F.sha2(F.concat_ws("/", pot, key, seconds.cast("string"), number.cast("string")), 256)

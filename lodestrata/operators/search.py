@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,19 @@ def enriched(hits: DataFrame, first_locations: DataFrame) -> DataFrame:
 def upserted(vectors: DataFrame, rows: DataFrame) -> DataFrame:
     """Vectors replaced or added by tenant and object."""
     return vectors.join(rows.select("tenant", "object_id").distinct(), ["tenant", "object_id"], "left_anti").unionByName(rows)
+
+
+def understood(objects: DataFrame, embed: Callable[[list[bytes]], list[list[float]]]) -> DataFrame:
+    """(tenant, object_id, vector) of objects (tenant, object_id, data); `embed` gets a batch of bytes and returns a vector for each."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            vectors = pa.array(embed([x or b"" for x in frame.column("data").to_pylist()]), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([frame.column("tenant"), frame.column("object_id"), vectors], ["tenant", "object_id", "vector"])
+
+    return objects.select("tenant", "object_id", "data").mapInArrow(run, "tenant string, object_id string, vector array<float>")
+
+
+def length_and_sum(batch: list[bytes]) -> list[list[float]]:
+    """A stand-in for a model: the number of bytes and their sum."""
+    return [[float(len(x)), float(sum(x))] for x in batch]

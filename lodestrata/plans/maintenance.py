@@ -10,8 +10,10 @@ from lodestrata.functions.hashing import merkle_root, raw
 from lodestrata.operators.gc import lifecycle, reachable, swept
 
 
-def ingested(objects: DataFrame, least: int, average: int, largest: int, keep_data: bool = True) -> DataFrame:
-    """Chunk rows of (object_id, data); see functions.chunking."""
+def ingested(objects: DataFrame, least: int, average: int, largest: int, keep_data: bool = True, most_bytes: int | None = None) -> DataFrame:
+    """Chunk rows of (object_id, data); see functions.chunking. Objects of more than `most_bytes` are refused: nothing of them is stored."""
+    if most_bytes is not None:
+        objects = objects.where(F.coalesce(F.octet_length("data"), F.lit(0)) <= most_bytes)
     return chunk(objects, least, average, largest, keep_data)
 
 

@@ -386,6 +386,38 @@ def verify_objects(spark, sf_dir):
     return integrity.verified(manifests, rows.select("hash", spoiled.alias("data")))
 
 
+@query("object_roots", f"WITH RECURSIVE {TREE} SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'declared' ELSE h[1] END AS root FROM levels WHERE len(h) = 1")
+def object_roots(spark, sf_dir):
+    declared = F.when(F.col("conv_id") % 2 == 0, "declared")
+    return catalog.turns(spark, sf_dir).select("conv_id", hashing.object_root(declared, F.col("chunks")).alias("root"))
+
+
+@query(
+    "import_checks",
+    """SELECT CAST(conv_id AS VARCHAR) AS object_id, bool_and(conv_id % 4 <> 0 OR turn <> 1) AS whole, conv_id % 3 <> 0 AS root, conv_id % 5 <> 0 AS same_id FROM conversations GROUP BY conv_id""",
+)
+def import_checks(spark, sf_dir):
+    """Conversations as objects to import: some lack a chunk, some declare another root, some another id."""
+    rows = catalog.read(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("hash", hashing.address(F.concat_ws("/", "conv_id", "turn", "text")))
+    lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "hash"))), lambda x: x["hash"]).alias("chunks"))
+    root = F.lower(F.hex(hashing.merkle_root(F.transform("chunks", hashing.raw))))
+    text, c = F.col("conv_id").cast("string"), F.col("conv_id")
+    manifests = lists.select(text.alias("object_id"), F.when(c % 5 == 0, "other").otherwise(text).alias("declared_id"), "chunks", F.when(c % 3 == 0, "other").otherwise(root).alias("merkle_root"))
+    return sync.import_checks(manifests, rows.where("conv_id % 4 <> 0 or turn <> 1"))
+
+
+@query("understood_objects", "SELECT CAST(doc_id AS VARCHAR) AS object_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
+def understood_objects(spark, sf_dir):
+    objects = catalog.document_objects(spark, sf_dir).withColumnRenamed("pot", "tenant")
+    return search.understood(objects, search.length_and_sum).select("object_id", F.get("vector", 0).cast("long").alias("n_bytes"))
+
+
+@query("ingest_size_cap", "SELECT count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS stored_bytes FROM documents WHERE strlen(text) BETWEEN 1 AND 5000")
+def ingest_size_cap(spark, sf_dir):
+    rows = maintenance.ingested(catalog.document_objects(spark, sf_dir), *CUT, keep_data=False, most_bytes=5000)
+    return rows.agg(F.countDistinct("object_id").alias("objects"), F.sum("length").alias("stored_bytes"))
+
+
 # Garbage collection and lifecycle
 
 GC = f"""WITH {CURRENT}, kept AS (SELECT * FROM log WHERE CAST(key AS BIGINT) % 10 = 0 AND seq = (SELECT max(l.seq) FROM log l WHERE l.pot = log.pot AND l.key = log.key)),
@@ -459,6 +491,18 @@ def lifecycle_trim(spark, sf_dir):
     return gc.lifecycle(catalog.pointer_log(spark, sf_dir), 365, 2, F.lit("2001-08-01").cast("timestamp")).select("pot", "key", "seq", "object_id")
 
 
+@query(
+    "maintenance_run",
+    f"""{GC} gone AS (SELECT pot, key FROM current WHERE epoch(TIMESTAMP '2001-08-01') - epoch(created_at) > 365 * 86400),
+    rest AS (SELECT object_id FROM (SELECT *, row_number() OVER (PARTITION BY pot, key ORDER BY seq DESC) AS r FROM log WHERE (pot, key) NOT IN (SELECT (pot, key) FROM gone)) WHERE r <= 2),
+    held AS (SELECT DISTINCT l_partkey AS chunk FROM lineitem WHERE l_orderkey IN (SELECT object_id FROM rest))
+    {_SWEEP.replace("live.chunk", "held.chunk").replace("LEFT JOIN live", "LEFT JOIN held")}""",
+)
+def maintenance_run(spark, sf_dir):
+    log, rows, stored = catalog.pointer_log(spark, sf_dir), catalog.chunk_rows(spark, sf_dir).select("object_id", "chunk"), catalog.stored(spark, sf_dir)
+    return maintenance.maintained(log, rows, stored, _earlier(spark, sf_dir), 365, 2, F.lit("2001-08-01").cast("timestamp"), _NOW, _GRACE)
+
+
 # Policy and access
 
 _CONFIG = "('BUILDING', true, 'none', NULL, 'perceptual', true), ('MACHINERY', false, NULL, 19, NULL, false), ('FURNITURE', NULL, NULL, NULL, NULL, NULL)"
@@ -570,6 +614,12 @@ def request_parsing(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("q")["method"].alias("method"), F.col("q")["partNumber"].alias("part"), scalars.xml_escaped(F.col("text")).alias("escaped"), F.get("p", 1).cast("long").alias("second_part"))
 
 
+@query("error_statuses", "SELECT conv_id, turn, [200, 400, 400, 400, 400, 500, 409, 413, 403][turn % 9 + 1] AS status FROM conversations")
+def error_statuses(spark, sf_dir):
+    names = F.array(*map(F.lit, (None, "InvalidKey", "InvalidPart", "BadBucket", "Upload", "Dangling", "Locked", "TooLarge", "Forbidden")))
+    return catalog.read(spark, sf_dir, "conversations", "conv_id", "turn").select("conv_id", "turn", scalars.status_of(F.get(names, (F.col("turn") % 9).cast("int"))).alias("status"))
+
+
 @query("valid_names", "SELECT page_id, strlen(url) > 0 AND 2 * strlen('pages') + 2 * strlen(url) + 6 <= 255 AS key_ok, NOT contains(url, '/') AND NOT contains(url, chr(92)) AND url NOT IN ('', '.', '..') AS pot_ok FROM pages")
 def valid_names(spark, sf_dir):
     rows = catalog.read(spark, sf_dir, "pages", "page_id", "url")
@@ -760,6 +810,16 @@ def stream_current_pointer(spark, sf_dir):
     return streams.finished(streams.pointers(streams.event_stream(spark, sf_dir)))
 
 
+@query("stream_uploads", "SELECT CAST(user_id AS VARCHAR) AS upload_id, count(*) FILTER (event_type <> 'error') AS n_parts FROM events WHERE event_id < 600 GROUP BY user_id")
+def stream_uploads(spark, sf_dir):
+    """Users as uploads: each event but an error is a part; all end complete."""
+    rows = streams.event_stream(spark, sf_dir).where("event_id < 600 and event_type <> 'error'")
+    parts = rows.select(F.col("user_id").cast("string").alias("upload_id"), F.col("event_id").alias("seq"), F.lit("part").alias("op"), F.col("event_id").alias("part_number"), F.lit(1).cast("long").alias("size"))
+    ends = streams.event_stream(spark, sf_dir).where("event_id < 600").select(F.col("user_id").cast("string").alias("upload_id"), F.lit(1 << 40).cast("long").alias("seq"), F.lit("complete").alias("op"), F.lit(0).cast("long").alias("part_number"), F.lit(0).cast("long").alias("size"))
+    done = streams.finished(streams.uploads(parts.unionByName(ends)), "append")
+    return done.groupBy("upload_id").agg(F.max("n_parts").alias("n_parts"))
+
+
 @query(
     "stream_fanout",
     """WITH hooks(id, kinds) AS (VALUES ('h0', CAST([] AS VARCHAR[])), ('h1', ['*']), ('h2', ['purchase']), ('h3', ['signup', 'error']), ('h4', ['none']))

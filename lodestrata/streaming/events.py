@@ -85,3 +85,26 @@ def collected(sweeps: DataFrame, grace: int) -> DataFrame:
         yield pd.DataFrame({"hash": [key[0]] * len(erased), "erased_at": erased}).astype({"erased_at": "int64"})
 
     return sweeps.groupBy("hash").applyInPandasWithState(watch, "hash string, erased_at long", "since long", "append", "NoTimeout")
+
+
+def uploads(requests: DataFrame) -> DataFrame:
+    """Multipart sessions of a stream of requests (upload_id, seq, op, part_number, size): upload_id, n_parts, size of those completed.
+
+    A part replaces the one of its number; `abort` and `complete` end the session.
+    """
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        parts = dict(zip(*state.get)) if state.exists else {}
+        done = []
+        for frame in frames:
+            for op, number, size in frame.sort_values("seq")[["op", "part_number", "size"]].itertuples(index=False):
+                if op == "part":
+                    parts[int(number)] = int(size)
+                else:
+                    if op == "complete":
+                        done.append((key[0], len(parts), sum(parts.values())))
+                    parts = {}
+        state.update((list(parts), list(parts.values())))
+        yield pd.DataFrame(done, columns=["upload_id", "n_parts", "size"]).astype({"upload_id": "object", "n_parts": "int64", "size": "int64"})
+
+    return requests.groupBy("upload_id").applyInPandasWithState(follow, "upload_id string, n_parts long, size long", "numbers array<long>, sizes array<long>", "append", "NoTimeout")

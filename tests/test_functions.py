@@ -205,3 +205,17 @@ def test_unknown_keys_are_anonymous(spark):
     keys = spark.createDataFrame([("ro", True, [])], "access_key string, read_only boolean, pots array<string>")
     pots = spark.createDataFrame([("open", True)], "pot string, public_read boolean")
     assert {r[0]: r[1] for r in policy.decisions(requests, keys, pots).collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_statuses_and_upload_ids(spark):
+    names = [None, "InvalidKey", "InvalidPart", "BadBucket", "Upload", "Locked", "TooLarge", "Forbidden", "MissingChunk"]
+    rows = spark.createDataFrame([(n,) for n in names], "e string")
+    assert [r[0] for r in rows.select(scalars.status_of(F.col("e"))).collect()] == [200, 400, 400, 400, 400, 409, 413, 403, 500]
+    made = spark.range(1).select(scalars.upload_id(F.lit("p"), F.lit("k"), F.lit(5), F.lit(0))).first()[0]
+    assert made == hashlib.sha256(b"p/k/5/0").hexdigest()
+
+
+def test_embeddings_replace_by_object(spark):
+    objects = spark.createDataFrame([("t", "a", bytearray(b"\1\2")), ("t", "b", None)], "tenant string, object_id string, data binary")
+    got = {r["object_id"]: list(r["vector"]) for r in search.understood(objects, search.length_and_sum).collect()}
+    assert got == {"a": [2.0, 3.0], "b": [0.0, 0.0]}
