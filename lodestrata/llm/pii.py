@@ -99,14 +99,21 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, share:
     near = seen.select("rid", "entity", F.explode("words").alias("term")).distinct()
     together = near.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support)
     rows = seen.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    candidates = table(together.join(rows, "entity"), "terms")
+    total = docs.count()
+
+    def reaches(df_term: str) -> Column:
+        information = F.log(F.lit(float(total)) / F.col("df_entity"))
+        mutual = F.log(F.lit(float(total)) * F.col("co") / (F.col("df_entity").cast("double") * F.col(df_term)))
+        return mutual >= share * information
+
+    # A word is in as many documents as it is beside entities in, at least. What fails by that count fails by the true one,
+    # so common words need not be counted in all texts.
+    beside = near.select("rid", "term").distinct().groupBy("term").agg(F.count("*").alias("df_beside"))
+    candidates = table(together.join(rows, "entity").join(beside, "term").where((F.col("df_entity") < total) & reaches("df_beside")), "terms")
     terms = candidates.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_LETTERS), F.lit(0)))).alias("term"))
     counted = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_term"))
-    total = docs.count()
-    information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    mutual = F.log(F.lit(float(total)) * F.col("co") / (F.col("df_entity").cast("double") * F.col("df_term")))
-    judged = candidates.join(counted, "term").where((F.col("df_entity") < total) & (mutual >= share * information))
+    judged = candidates.join(counted, "term").where(reaches("df_term"))
     return judged.select("entity", "term", (F.col("co") == F.col("df_term")).alias("whole"))
 
 
