@@ -1,9 +1,10 @@
+import os
 import subprocess
 import sys
 
 import __spark_entry__ as e
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.abspath(e.__file__))
 
 
 def test_the_entry_query_returns_rows(spark):
