@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .crf import Field, chains, forward_backward, token_scores, train
 from .quality import remainder
 from .session import batches
-from .words import U64, as_strings, mix, slices
+from .words import U64, as_strings, mix, release, slices
 
 BITS, CHAIN, PIECE = 16, 128, 32
 UNKNOWN = "und"
@@ -164,9 +164,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts, ids = as_strings(frame.column("text")), frame.column("doc_id")
-            for low, high in slices(texts, 8 << 20):
+            for low, high in slices(texts, 2 << 20):
                 named, score, n, switches = _predicted(texts.slice(low, high - low), *shared.value)
                 yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(named.tolist(), pa.string()), pa.array(score), pa.array(n.astype(np.int64)), pa.array(switches.astype(np.int64))], [c.split()[0] for c in _OUT.split(", ")])
+        release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, _OUT)
@@ -181,9 +182,10 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             texts = as_strings(frame.column("text"))
-            for low, high in slices(texts, 8 << 20):
+            for low, high in slices(texts, 2 << 20):
                 named, score, _, _ = _predicted(texts.slice(low, high - low), *shared.value)
                 yield frame.slice(low, high - low).filter(pa.array((named != UNKNOWN) & (score >= least)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

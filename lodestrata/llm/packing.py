@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .session import batches
-from .words import as_strings, ragged, slices
+from .words import as_strings, ragged, release, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SEPARATOR = "<|endoftext|>"
@@ -88,7 +88,7 @@ class WordTokens:
         ids = ragged(self.flat, self.starts[part], self.lengths[part])
         word = words.indices.to_numpy()
         starts, lengths = by_word[:-1], np.diff(by_word)
-        for low_row, high_row in _runs(first, 1 << 20):
+        for low_row, high_row in _runs(first, 1 << 18):
             own = word[first[low_row] : first[high_row]]
             n = lengths[own]
             flat = ragged(ids, starts[own], n)
@@ -211,12 +211,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
         last = np.array([end_id], dtype=np.uint32)
         for frame in frames:
             texts, names = as_strings(frame.column("text")), frame.column("doc_id").to_pylist()
-            for low, high in slices(texts, 16 << 20):
+            for low, high in slices(texts, 12 << 20):
                 for doc_id, ids in zip(names[low:high], words.encode(texts.slice(low, high - low))):
                     packer.add(doc_id, np.concatenate([ids, last]))
             yield packer.take()
         packer.finish()
         yield packer.take()
+        words.forget()  # the worker lives on, and may run other stages
+        release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -46,6 +46,11 @@ def _spread(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (total[ends] - total[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts]
 
 
+def release() -> None:
+    """Give freed Arrow memory back: workers live on, and the next stage's run beside it."""
+    pa.default_memory_pool().release_unused()
+
+
 def as_strings(column: pa.Array) -> pa.Array:
     """Text as a plain string array, null as empty."""
     if isinstance(column, pa.ChunkedArray):
