@@ -5,6 +5,9 @@ blocks their bits are cut into: with two blocks more than the radius, on two at
 key form a shard, and each shard is a BK-tree whose children are keyed by their integer Hamming distance to the parent.
 A search follows only the edges within the radius. The trees are built where their queries are instead of being
 broadcast: what a broadcast would hold grows with the corpus. A shard too large for one task is several trees (see buckets.py).
+
+Stages ask for a Jaccard similarity of longer shingles instead, which fingerprints tell too roughly: similar_documents finds candidates
+by least values of the shingle sets and compares the sets.
 """
 
 from __future__ import annotations
@@ -21,18 +24,19 @@ from pyspark.sql import functions as F
 from .buckets import blocks
 from .components import components
 from .session import batches, table
-from .words import Words, as_strings, slices
+from .words import Words, as_strings, mix, slices
 
 SHINGLE, SEED, RADIUS, TREE = 3, 42, 2, 4096
+# For stages: words a shingle, and the least Jaccard similarity in hundredths; bands of least values and values a band; sets a shard.
+STAGE_SHINGLE, STAGE_PERCENT, BANDS, ROWS, SHARD = 5, 80, 64, 6, 512
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' XXH64 values. No word: zero."""
+def shingled(texts: pa.Array, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the shingles of all rows (one of all words where those are fewer), and where each row's begin: row r has first[r]:first[r + 1]."""
     words = Words(texts, lower=True)
     n = len(texts)
-    result = np.zeros(n, dtype=np.uint64)
     if not len(words.start):
-        return result
+        return np.zeros(0, dtype=np.uint64), np.zeros(n + 1, dtype=np.int64)
     # All words of the slice, one space after each, so that a shingle is one stretch of bytes.
     size = words.end - words.start
     ends = np.cumsum(size + 1) - 1
@@ -52,8 +56,14 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
     begin = words.first[:-1][row] + np.arange(len(row)) - first[:-1][row]
     last = np.minimum(begin + shingle, words.first[1:][row]) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(body[a:b], seed) for a, b in zip(starts[begin].tolist(), ends[last].tolist())], dtype=np.uint64)
-    for r in np.flatnonzero(shingles).tolist():
+    return np.array([digest(body[a:b], seed) for a, b in zip(starts[begin].tolist(), ends[last].tolist())], dtype=np.uint64), first
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """64-bit fingerprints: a bit is set if it is set in over half of the shingles' XXH64 values. No word: zero."""
+    result = np.zeros(len(texts), dtype=np.uint64)
+    hashes, first = shingled(texts, shingle, seed)
+    for r in np.flatnonzero(np.diff(first)).tolist():
         own = hashes[first[r] : first[r + 1]]
         bits = np.zeros(64, dtype=np.int64)
         for low in range(0, len(own), 200):
@@ -162,12 +172,166 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.join(heads, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distinct(docs: DataFrame) -> DataFrame:
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each row its set of shingles as sorted distinct hashes, and a hash of that set: zero without a word."""
+    sets = []
+    for low, high in slices(texts):
+        hashes, first = shingled(texts.slice(low, high - low), shingle)
+        sets += [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], dtype=np.uint64), sets
+
+
+def _band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each set, none of them empty: each key hashes ROWS least values of the set under random orders."""
+    draw = np.random.default_rng(SEED)
+    factors, terms = (draw.integers(0, 1 << 64, size=BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    factors |= np.uint64(1)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    begin = 0
+    while begin < len(sets):
+        end = max(begin + 1, int(np.searchsorted(first, first[begin] + 16384, side="right")) - 1)
+        values, at = np.concatenate(sets[begin:end]), first[begin:end] - first[begin]
+        for k in range(BANDS * ROWS):
+            least = mix(np.minimum.reduceat(values * factors[k] + terms[k], at))
+            keys[begin:end, k // ROWS] = mix(keys[begin:end, k // ROWS] + least)
+        begin = end
+    return keys + np.arange(BANDS, dtype=np.uint64)
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles: the hash of its set as a signed long, keys) of each row."""
+    batches(docs.sparkSession)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            marks, sets = shingle_sets(as_strings(frame.column("text")), shingle)
+            full = [r for r, x in enumerate(sets) if len(x)]
+            keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
+            if full:
+                keys[full] = _band_keys([sets[r] for r in full])
+            offsets = np.concatenate([[0], np.cumsum([BANDS if len(x) else 0 for x in sets])]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(marks.view(np.int64)), keys], ["doc_id", "shingles", "keys"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, shingles long, keys array<long>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles, members: the set's hashes) of each row."""
+    batches(docs.sparkSession)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            marks, sets = shingle_sets(as_strings(frame.column("text")), shingle)
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "shingles", "members"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, shingles long, members binary")
+
+
+class Shard:
+    """The sets of a block, to be compared with all at once: the sizes of their intersections with one more set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        self.known, self.codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.has = np.zeros(len(self.known), dtype=bool)
+
+    def similar(self, values: np.ndarray, percent: int) -> np.ndarray:
+        """The numbers of the sets whose Jaccard similarity to `values` is `percent` or more; in whole numbers, so exact."""
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+        at = at[self.known[at] == values]
+        self.has[at] = True
+        both = np.add.reduceat(self.has[self.codes], self.starts, dtype=np.int64)
+        self.has[at] = False
+        return np.flatnonzero(100 * both >= percent * (self.sizes + len(values) - both))
+
+
+def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each block links that join whatever the links of all its similar pairs join."""
+    block, nodes, sets, shard, root, out = None, [], [], None, {}, []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def look(node: int, values: np.ndarray, joins: bool) -> None:
+        near = {}
+        for at in shard.similar(values, percent).tolist():
+            near.setdefault(top(nodes[at]), nodes[at])
+        out.extend((node, x) for x in near.values() if x != node)
+        if joins:
+            least = min(near)
+            for x in near:
+                root[x] = least
+
+    def close() -> None:
+        nonlocal shard
+        if sets and shard is None:
+            shard = Shard(sets)
+            root.update((x, x) for x in nodes)
+            for node, values in zip(nodes, sets):
+                look(node, values, True)
+
+    def drained() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [(), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    for frame in frames:
+        for b, indexed, node, members in zip(*(frame.column(c).to_pylist() for c in ("block", "indexed", "node", "members"))):
+            if b != block:
+                close()
+                block, nodes, sets, shard, root = b, [], [], None, {}
+            values = np.frombuffer(members, dtype=np.uint64)
+            if indexed:
+                nodes.append(node)
+                sets.append(values)
+            else:
+                close()
+                if shard is not None:
+                    look(node, values, False)
+        yield drained()
+    close()
+    yield drained()
+
+
+def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: int = STAGE_PERCENT) -> DataFrame:
+    """Link documents whose sets of `shingle`-word shingles have a Jaccard similarity of `percent` in a hundred or more, and find the groups they form.
+
+    One row per row of `docs`: doc_id, shingles (a hash of the set), component_id, as in near_duplicates. Documents without a word are
+    one another's copies. Sets that share the key of a band, by whatever chain, are a cluster, and all pairs of
+    a cluster's sets are compared exactly. A pair at a similarity of 0.8 shares no key with a probability of
+    (1 - 0.8**ROWS)**BANDS = 4e-9, less for those above; nothing else loses a pair.
+    """
+    found = table(_signed(docs, shingle), "shingles")
+    nodes = table(found.where("doc_id is not null").groupBy("shingles").agg(F.min("doc_id").alias("node")), "sets")
+    named = found.select("doc_id", "shingles", "keys").join(nodes, (found["shingles"] == nodes["shingles"]) & (found["doc_id"] == nodes["node"])).select(nodes["shingles"], "node", "keys")
+    keyed = named.dropDuplicates(["shingles"]).select("node", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    clusters = components(keyed.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
+    clusters = table(nodes.join(clusters, "node").select("node", "shingles", "component"), "clusters")
+    wanted = docs.join(clusters.select(F.col("node").alias("_lodestrata_node")).distinct(), docs["doc_id"].cast("long") == F.col("_lodestrata_node"), "left_semi")
+    members = _sets(wanted, shingle).select("shingles", "members").join(clusters, "shingles").dropDuplicates(["shingles"])
+    members = table(members.select("node", "shingles", "component", "members"), "members")
+    batches(docs.sparkSession)
+    links = blocks(members, "component", "shingles", SHARD).select("block", "indexed", "node", "members").mapInArrow(lambda frames: _similar(frames, percent), "a long, b long")
+    groups = components(links)
+    heads = nodes.join(groups, nodes["node"] == groups["node"], "left").select("shingles", F.coalesce("component", nodes["node"]).alias("component_id"))
+    return found.select("doc_id", "shingles").join(heads, "shingles", "left").select("doc_id", "shingles", "component_id")
+
+
+def distinct(docs: DataFrame, shingle: int | None = None, percent: int = STAGE_PERCENT) -> DataFrame:
     """One row of each group: that of the least doc_id; of rows that share it, the one with the least text.
 
-    Rows with a null doc_id are in no group; of those with one text, one stays.
+    Groups are those of near_duplicates, or with `shingle` those of similar_documents. Rows with a null doc_id are in no group; of
+    those with one text, one stays.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if shingle is None else similar_documents(docs, shingle, percent)
     heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_lodestrata_n")).withColumnRenamed("doc_id", "_lodestrata_id")
     rows = docs.join(heads, docs["doc_id"].cast("long") == heads["_lodestrata_id"])
     several = rows.where("_lodestrata_n > 1").withColumn("_lodestrata_rank", F.row_number().over(Window.partitionBy("_lodestrata_id").orderBy("text"))).where("_lodestrata_rank = 1")

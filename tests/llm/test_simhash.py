@@ -92,3 +92,47 @@ def test_hard_rows(hard, none):
     kept = simhash.distinct(hard)
     assert kept.columns == hard.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({r[2] for r in brute(rows) if r[2] is not None})
+
+
+def sets_of(rows):
+    return {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows if (w := t.lower().split()) is not None}
+
+
+def test_similar_documents_against_all_pairs(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for g in range(25):
+        base = [f"g{g}w{k}" for k in range(draw.choice([5, 30, 120, 300]))]
+        for _ in range(6):
+            words = list(base)
+            for at in draw.sample(range(len(words)), draw.randrange(1 + len(words) // 25 + 1)):
+                words[at] = f"n{draw.randrange(10**6)}"
+            rows.append((len(rows) * 7 % 151, " ".join(words)))
+    sets = sets_of(rows)
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+    for _ in range(len(sets)):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.distinct(docs, 5).collect()} == set(root.values())
+    thin = {r[0]: r[2] for r in brute(rows)}
+    assert any(thin[a] != thin[b] for a, b in pairs)
+    for shard in (512, 2):
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == root
+
+
+def test_the_stage_keeps_no_pair_of_similar_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = sets_of([(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()])
+    assert not [(a, b) for a in kept for b in kept if a < b and 5 * len(kept[a] & kept[b]) >= 4 * len(kept[a] | kept[b])]
+
+
+def test_similar_documents_hard_rows(hard, none):
+    kept = simhash.distinct(hard, 5)
+    assert kept.columns == hard.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 7, 8]
+    assert simhash.similar_documents(none).count() == 0
