@@ -3,12 +3,14 @@
 Only built-in DataFrame functions are used. The patterns' matches are the protected entities. Which words stand near an
 entity, and in how many documents, against how many documents hold the word at all, says how much of the entity's
 information the word discloses: PMI(entity; word) = log(N co / (df(entity) df(word))), of at most IC(entity) = log(N / df(entity)).
-A word whose PMI reaches `share` of the entity's IC, with `support` documents behind it, is a disclosing term: in documents with
+A word whose PMI reaches `share` of the entity's IC, with `support` documents behind it (or too seldom by chance, as sanitise() asks), is a disclosing term: in documents with
 that entity it is generalised to a label, and removed where it discloses everything (it occurs beside the entity only).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 SUPPORT, SHARE, NEAR, REACH, SHORTEST = 3, 0.9, 5, 80, 3
+CHANCE = 0.001  # of standing together that often by accident, for entities in fewer documents than SUPPORT too
 _LETTERS = r"\p{L}+"
 _STEP = 64
 
@@ -89,22 +92,30 @@ def _near(kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(F.concat(F.lit(kind + ":"), F.lower(x["value"])).alias("entity"), F.array_distinct(F.concat(before(x), after(x))).alias("words")))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, share: float = SHARE, chance: float | None = None) -> DataFrame:
     """(entity, term, whole): terms that disclose `share` of an entity's information; whole: all of it.
 
+    A pair needs `support` documents. With `chance`, one in fewer documents, down to a single one, is judged too: it counts if
+    Chernoff's bound on the probability that as many of the entity's documents hold the term by accident is at most `chance`.
     Counts are of documents, over all of `docs`. Only partial aggregates and joins by entity or term, so that an entity
     or a term in a third of all documents is one row a task.
     """
     seen = found.select("rid", F.explode(F.concat(*[_near(k) for k in KINDS])).alias("x")).select("rid", "x.entity", "x.words")
     near = seen.select("rid", "entity", F.explode("words").alias("term")).distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= support)
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("co"))
+    together = together if chance is not None else together.where(F.col("co") >= support)
     rows = seen.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     total = docs.count()
 
     def reaches(df_term: str) -> Column:
         information = F.log(F.lit(float(total)) / F.col("df_entity"))
         mutual = F.log(F.lit(float(total)) * F.col("co") / (F.col("df_entity").cast("double") * F.col(df_term)))
-        return mutual >= share * information
+        told = mutual >= share * information
+        if chance is None:
+            return told
+        # Of the entity's documents, those without the term; none: no further evidence.
+        rest = (F.col("df_entity") - F.col("co")) * (F.log((F.col("df_entity") - F.col("co")) * float(total)) - F.log(F.col("df_entity") * (F.lit(float(total)) - F.col(df_term))))
+        return told & ((F.col("co") >= support) | (F.col("co") * mutual + F.coalesce(rest, F.lit(0.0)) >= math.log(1 / chance)))
 
     # A word is in as many documents as it is beside entities in, at least. What fails by that count fails by the true one,
     # so common words need not be counted in all texts.
@@ -130,17 +141,17 @@ def _any() -> Column:
     return sum((F.size(k) for k in KINDS), F.lit(0)) > 0
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, chance: float | None = None) -> DataFrame:
     """Personal data of every document, its whole text read.
 
     One row per row of `docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Spans of
     disclosing terms have the kind `term` and follow those of the patterns. Null text is empty; an empty table gives no
-    rows; repeated rows are searched each, and count as documents of their own; other columns are ignored.
+    rows; repeated rows are searched each, and count as documents of their own; other columns are ignored. `chance` as in disclosing().
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     found = entities(rows)
     found = table(found.withColumn("text", F.when(_any(), F.col("text"))), "entities")
-    told = _told(found, disclosing(found.where(_any()), rows))
+    told = _told(found, disclosing(found.where(_any()), rows, chance=chance))
     rich = found.where(_any()).join(told, "rid", "left")
     rich = rich.withColumn("low", F.when(F.size("terms") > 0, F.lower("text")))
     # A term is placed by the lower-case text where that has as many characters; where lower-casing changes their number, in the text itself.
@@ -166,17 +177,17 @@ def _digest(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(shown(KINDS), 256).alias("base_sha256"), shown(order).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, chance: float | None = CHANCE) -> DataFrame:
     """The same rows and columns with personal data out of the text: matches as [EMAIL], [IP], [CARD] or [PHONE], disclosing
     terms as [TERM], or removed where they disclose an entity wholly. n_chars, if there, is the changed texts' new length.
 
-    Null text stays null. Rows without personal data are passed on as they are.
+    Null text stays null. Rows without personal data are passed on as they are. `chance` as in disclosing().
     """
     columns = docs.columns
     # The other columns travel as one struct, so that none of their names can clash with those made here.
     row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in columns if c != "text"]).alias("row")
     found = table(entities(docs.select(row, docs["text"], docs["text"].isNull().alias("empty"))), "entities")
-    told = _told(found.where(_any()), disclosing(found.where(_any()), docs))
+    told = _told(found.where(_any()), disclosing(found.where(_any()), docs, chance=chance))
     rich = found.where(_any()).join(told, "rid", "left")
     words = F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0))
     rich = rich.withColumn("_w", F.when(F.size("terms") > 0, words)).withColumn("_s", F.when(F.size("terms") > 0, F.split("text", _LETTERS, -1)))

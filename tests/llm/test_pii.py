@@ -79,6 +79,15 @@ def test_terms_match_the_oracle(spark, tmp_path):
     same(found, con, ORACLES["op5_pii"])
 
 
+def test_terms_of_entities_in_one_and_two_documents(spark):
+    rows = [(k, f"a report about the ship number {k} by the captain of the fleet") for k in range(1500)]
+    rows += [(2000, "the report by Zebulon write zeb@sea.org about the ship"), (2001, "the captain Mirabel +49 170 1234567 of the fleet"), (2002, "the ship Mirabel +49 170 1234567 by number")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Zebulon" not in clean[2000] and "[EMAIL]" in clean[2000] and "about the ship" in clean[2000]
+    assert not any("Mirabel" in clean[k] for k in (2001, 2002)) and "captain" in clean[2001] and "number" in clean[2002]
+    assert clean[3] == dict(rows)[3]
+
+
 def test_hard_rows(hard, none):
     found = pii.find(hard)
     assert found.count() == hard.count() and found.where("n_email = 1").count() == 1
