@@ -64,6 +64,11 @@ def _agreed(g: Column, h: Column, distance: Column) -> Column:
     return F.get(F.transform(F.array(same), best), 0)
 
 
+def _key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, agreed, compared): each document and test item with a verified overlap, and the best agreement.
 
@@ -72,7 +77,13 @@ def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
     that share a doc_id or an item_id are one document or item in the result; null ids are kept. Other columns are ignored.
     Items beyond `block_words` words together are searched for block by block, each over all documents.
     """
-    train = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    judged = _overlaps(docs, items, block_words)
+    return judged.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("compared").cast("long").alias("compared"))
+
+
+def _overlaps(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, doc_id, item_id, agreed, compared) of each verified hit; key: of the row of `docs`."""
+    train = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), _key(docs).alias("key"))
     tests = items.select(items["item_id"].cast("long").alias("item_id"), items["text"].cast("string").alias("text"))
     tests = table(tests.select("item_id", F.xxhash64("item_id", "text").alias("item"), _hashed("text").alias("h")), "items")
     total = tests.agg(F.sum(F.size("h"))).first()[0] or 0
@@ -84,13 +95,13 @@ def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
     by_key = hits.groupBy("key").agg(F.collect_list(F.struct("item_id", "distance", "g")).alias("hits"))
     if (hits.agg(F.sum(F.size("g") + 4)).first()[0] or 0) <= HIT_WORDS:
         by_key = F.broadcast(by_key)
-    rows = train.join(by_key, "key").select("doc_id", "hits", _hashed("text").alias("h"))
+    rows = train.join(by_key, "key").select("key", "doc_id", "hits", _hashed("text").alias("h"))
     judged = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), _agreed(x["g"], F.col("h"), x["distance"]).alias("agreed"), F.least(F.lit(WINDOW), F.size(x["g"])).alias("compared")))
-    judged = rows.select("doc_id", F.explode_outer(judged).alias("x")).select("doc_id", "x.item_id", "x.agreed", "x.compared").where(F.col("agreed") >= F.ceil(F.col("compared") * SHARE))
-    return judged.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("compared").cast("long").alias("compared"))
+    judged = rows.select("key", "doc_id", F.explode_outer(judged).alias("x")).select("key", "doc_id", "x.item_id", "x.agreed", "x.compared")
+    return judged.where(F.col("agreed") >= F.ceil(F.col("compared") * SHARE))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` that overlap no test item; rows with a null doc_id are judged by their texts together."""
-    bad = bounded(contaminated(docs, items).select(F.col("doc_id").alias("_lodestrata_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("_lodestrata_bad").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")
+    """The rows of `docs` that overlap no test item; each row is judged by its own text, also where rows share a doc_id or have none."""
+    bad = bounded(_overlaps(docs, items).select(F.col("key").alias("_lodestrata_bad")).distinct(), "contaminated")
+    return docs.join(bad, F.col("_lodestrata_bad") == _key(docs), "left_anti")

@@ -47,3 +47,10 @@ def test_no_python_in_the_plan(spark, hard):
     items = spark.createDataFrame([(1, "lorem ipsum dolor " * 6)], "item_id long, text string")
     plan = d.contaminated(hard, items)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clean_rows_stay_beside_a_leaking_one_of_the_same_id(spark):
+    leak, fine = " ".join(WORDS[:30]), " ".join(WORDS[100:130])
+    docs = spark.createDataFrame([(None, leak), (None, fine), (None, None), (1, leak), (1, fine), (2, fine)], "doc_id long, text string")
+    kept = d.clean(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, fine), (None, None), (1, fine), (2, fine)], key=repr)
