@@ -89,7 +89,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KIND_SQL = """
-    SELECT doc_id, rid, {k} AS kind, unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(p[2:]) AS tail, unnest(range(len(m))) AS i FROM (
+    SELECT doc_id, rid, {k} AS kind, unnest(m) AS value, unnest(p[:len(m)]) AS piece, unnest(range(len(m))) AS i, [list_filter(regexp_extract_all(lower(x), '\\p{{L}}+'), lambda y: length(y) >= 3) for x in p] AS near FROM (
         SELECT doc_id, rid, regexp_extract_all(text, '{re}') AS m, string_split_regex(text, '{re}') AS p FROM docs)
 """
 _PLAIN = (
@@ -110,25 +110,25 @@ _PLAIN = (
     ), placed AS (
         SELECT *, CAST(sum(length(piece) + length(value)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM hits
     ), base AS (
-        SELECT doc_id, rid, kind, value, stop - length(value) AS start, stop, right(piece, 80) AS lead, left(tail, 80) AS tail FROM placed WHERE CASE kind
+        SELECT doc_id, rid, kind, value, stop - length(value) AS start, stop, flatten(near[:i + 1]) AS lead, flatten(near[i + 2:]) AS tail FROM placed WHERE CASE kind
             WHEN 0 THEN true
             WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0
             WHEN 2 THEN length(d) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (length(d) - j) % 2 = 0 THEN CAST(d[j] AS INT) ELSE (CAST(d[j] AS INT) * 2) % 10 + (CAST(d[j] AS INT) * 2) // 10 END for j in range(1, length(d) + 1)]) % 10 = 0
             ELSE length(d) BETWEEN 9 AND 15 END
     ), seen AS (
-        SELECT rid, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(value) AS entity,
-            list_reverse([w for w in regexp_extract_all(lower(CASE WHEN length(lead) >= 80 THEN regexp_replace(lead, '^\\p{{L}}+', '') ELSE lead END), '\\p{{L}}+') if length(w) >= 3])[:5]
-            || [w for w in regexp_extract_all(lower(CASE WHEN length(tail) >= 80 THEN regexp_replace(tail, '\\p{{L}}+$', '') ELSE tail END), '\\p{{L}}+') if length(w) >= 3][:5] AS words
-        FROM base
+        SELECT rid, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || lower(value) AS entity, lead[-5:] || tail[:5] AS words FROM base
     ), together AS (
-        SELECT entity, term, count(DISTINCT rid) AS co FROM (SELECT rid, entity, unnest(words) AS term FROM seen) GROUP BY ALL HAVING count(DISTINCT rid) >= 3
+        SELECT entity, term, count(DISTINCT rid) AS co FROM (SELECT rid, entity, unnest(words) AS term FROM seen) GROUP BY ALL
     ), entity_df AS (
         SELECT entity, count(DISTINCT rid) AS df_entity FROM seen GROUP BY entity
     ), term_df AS (
         SELECT term, count(*) AS df_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS term FROM docs) GROUP BY term
+    ), measured AS (
+        SELECT *, ln(n * co / (CAST(df_entity AS DOUBLE) * df_term)) AS mutual,
+            CASE WHEN co < df_entity AND df_term < n THEN (df_entity - co) * (ln((df_entity - co) * n) - ln(df_entity * (n - df_term))) ELSE 0 END AS rest
+        FROM together JOIN entity_df USING (entity) JOIN term_df USING (term), (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs)
     ), judged AS (
-        SELECT entity, term FROM together JOIN entity_df USING (entity) JOIN term_df USING (term), (SELECT count(*) AS n FROM docs)
-        WHERE df_entity < n AND ln(CAST(n AS DOUBLE) * co / (CAST(df_entity AS DOUBLE) * df_term)) >= 0.9 * ln(CAST(n AS DOUBLE) / df_entity)
+        SELECT entity, term FROM measured WHERE df_entity < n AND mutual >= 0.9 * ln(n / df_entity) - 1e-9 AND co * mutual + rest >= ln(1000) - 1e-9
     ), told AS (
         SELECT DISTINCT rid, term FROM seen JOIN judged USING (entity)
     ), said AS (

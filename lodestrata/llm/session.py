@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,10 +45,38 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bounded(frame: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
-    """A written copy of the frame, marked for broadcast if it has at most `most` rows; otherwise joins shuffle it."""
+BROADCAST_BYTES = 48 << 20  # the most that is marked for broadcast, by a measure of the data itself
+HOT_ROWS = 200_000  # of one key, beyond which its rows are dealt over several tasks
+
+
+def bounded(frame: DataFrame, name: str, weight: Column | int = 32, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written copy of the frame, marked for broadcast if its rows weigh at most `most` bytes together; otherwise joins shuffle it."""
     written = table(frame, name)
-    return F.broadcast(written) if written.count() <= most else written
+    return F.broadcast(written) if _weight(written, weight) <= most else written
+
+
+def _weight(frame: DataFrame, weight: Column | int) -> int:
+    return int(frame.agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight)).first()[0] or 0)
+
+
+def join_ones(rows: DataFrame, ones: DataFrame, key: str, weight: Column | int, how: str = "inner", count_as: str | None = None) -> DataFrame:
+    """Join with a frame that has each key once. It is broadcast if its rows, of `weight` bytes each, are light enough; otherwise
+    both are shuffled, with the rows of a hot key dealt over several tasks. With `count_as` the result is the number of rows of each key, counted before anything is shuffled by it.
+    """
+    ones = table(ones, "ones")
+    light = _weight(ones, weight) <= BROADCAST_BYTES
+    if count_as:
+        counts = lambda x: x.groupBy(key).agg(F.count("*").alias(count_as))
+        return counts(rows.join(F.broadcast(ones), key)) if light else counts(rows).join(ones, key)
+    if light:
+        return rows.join(F.broadcast(ones), key, how)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    most = max(HOT_ROWS, total // 1_000_000)  # so at most a million keys are hot
+    hot = F.broadcast(table(sizes.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot"))
+    mine = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map" not in t]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    theirs = ones.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return mine.join(theirs, [key, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
