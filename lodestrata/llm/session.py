@@ -70,13 +70,19 @@ def join_ones(rows: DataFrame, ones: DataFrame, key: str, weight: Column | int,
         return counts(rows.join(F.broadcast(ones), key)) if light else counts(rows).join(ones, key)
     if light:
         return rows.join(F.broadcast(ones), key, how)
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return join_dealt(rows, ones, [key], rows.groupBy(key).agg(F.count("*").alias("_n")), how)
+
+
+def join_dealt(rows: DataFrame, ones: DataFrame, keys: list[str], sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """Join with a frame that has each key once, both shuffled, with the rows of a hot key dealt over several tasks; sizes: the keys and _n, their numbers of rows."""
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     most = max(HOT_ROWS, total // 1_000_000)  # so at most a million keys are hot
-    hot = F.broadcast(table(sizes.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot"))
-    mine = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map" not in t]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    theirs = ones.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return mine.join(theirs, [key, "_salt"], how).drop("_salt")
+    hot = table(sizes.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return rows.join(ones, keys, how)
+    mine = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map" not in t]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    theirs = ones.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return mine.join(theirs, [*keys, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

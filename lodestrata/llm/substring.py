@@ -1,37 +1,44 @@
 """Repeated-phrase automata: find passages that documents share, and cut the later copies.
 
-1. Anchors. Of each 50-word window, the 16-word phrase with the least hash is its anchor: equal windows have equal anchors,
+1. Phrases. Of each 50-word window, the 16-word phrase with the least hash is its anchor: equal windows have equal anchors,
    so a window can recur only if its anchor occurs in two documents. Neighbouring windows of one anchor are a run, about
-   eighteen windows; a row holds a run's anchor and the hash of all its words.
-2. Recurring runs. A run whose words an earlier document has, all of them, recurs as a whole; the first such document is
-   its owner. Where an anchor has runs of different words, the first document of each has its single windows hashed and compared.
-   That takes aggregates and joins by hash only, so a passage in a third of all documents is no hot group.
-3. Automata. The owners' runs are the phrase book. It is dealt into shards of bounded size; each shard is compiled to an
-   Aho-Corasick automaton of the phrases at its anchors, and the other documents' runs stream through the shard that
-   holds their owner, each hit grown to the whole common passage, word by word. An owner with very many runs has its shard on several tasks.
-4. The words covered by passages found that way are cut.
+   eighteen windows. A light row holds a run's anchor and the hash of all its words.
+2. The book. Anchors in two documents recur. The first document of each run with such an anchor offers it to the book; where an anchor has
+   runs of different words, the offered runs' single windows are hashed, and only windows of two documents or more stay, each in its first document only.
+   That takes aggregates by hash only, so a passage in a third of all documents is no hot group.
+3. Automata. The book is dealt by anchor into shards of bounded size; each is compiled to an Aho-Corasick automaton of its
+   anchors. All documents are streamed: every run of every document whose anchor recurs goes, as text, to the shard of that anchor. Where the automaton
+   meets a phrase, the windows around it are looked up in the shard's passages by all their words. Nothing but that says which words go.
+   An anchor that streams much is dealt to several tasks, and one whose passages alone outgrow a shard is dealt on by single windows.
+4. The words covered by windows that an earlier document has are cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import batches, table
-from .words import U64, Words, _spread, as_strings, mix, ragged, slices, window_hashes
+from .session import batches, join_dealt, join_ones, table
+from .words import U64, Words, _spread, as_strings, mix, slices, window_hashes
 
-WINDOW, ANCHOR, PHRASE = 50, 16, 8
+WINDOW, ANCHOR = 50, 16
 SHARD_BYTES, STREAM_BYTES = 4 << 20, 32 << 20
-_PIECE = "kind int, owner long, doc_id long, key long, start long, body string, n_words long, kept_sha256 string"
-_RANGE = "doc_id long, key long, low long, high long"
-_PASSAGE, _RUN, _WHOLE, _DONE = 0, 1, 2, 3
+_PIECE = "kind int, anchor long, doc_id long, key long, start long, owned boolean, last long, mixed boolean, body string, n_words long, kept_sha256 string"
+_RUN, _WHOLE, _DONE = 0, 1, 2
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def _least(values: np.ndarray, n: int) -> np.ndarray:
@@ -73,163 +80,158 @@ def _all_runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(ids[low:high][row].astype(np.int64))], ["anchor", "whole", "doc_id"])
 
 
-def _windows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of the runs that are asked for."""
-    for frame in frames:
-        texts = as_strings(frame.column("text"))
-        ids, keys = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
-        asked = frame.column("asked")
-        for low, high in slices(texts):
-            words = Words(texts.slice(low, high - low))
-            row, begin, size, anchor, whole = _runs(words)
-            first = np.searchsorted(row, np.arange(high - low + 1))
-            wanted = np.zeros(len(row), dtype=bool)
-            for r in range(high - low):
-                own = slice(first[r], first[r + 1])
-                wanted[own] = np.isin(mix(anchor[own].view(U64)) ^ whole[own].view(U64), _pair_keys(asked[low + r].values))
-            row, begin, size = row[wanted], begin[wanted], size[wanted]
-            at = ragged(np.arange(len(words.start) + 1), begin, size)
-            row = np.repeat(row, size)
-            window = window_hashes(words.hashes(), WINDOW)[at] if len(at) else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), pa.array(ids[low + row].astype(np.int64)), pa.array(keys[low + row].astype(np.int64)), pa.array((at - words.first[row]).astype(np.int32))], ["window", "doc_id", "key", "place"])
-
-
-def _pair_keys(pairs: pa.StructArray) -> np.ndarray:
-    return mix(pairs.field("anchor").to_numpy().view(U64)) ^ pairs.field("whole").to_numpy().view(U64)
-
-
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def _pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [c.split() for c in _PIECE.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * len(fields)
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
-
+    """The texts of the runs that are marked, and whole texts that may lose words; of other texts only what they come to."""
     for frame in frames:
-        texts, out = as_strings(frame.column("text")), []
-        ids, keys, runs, singles = (frame.column(c) for c in ("doc_id", "key", "runs", "singles"))
+        texts, marks = as_strings(frame.column("text")), frame.column("marks")
+        ids, keys = (frame.column(c).to_pylist() for c in ("doc_id", "key"))
         for low, high in slices(texts):
-            some = Words(texts.slice(low, high - low))
+            some, out = Words(texts.slice(low, high - low)), []
             row, begin, size, anchor, whole = _runs(some)
             first = np.searchsorted(row, np.arange(high - low + 1))
             for r in range(high - low):
-                doc_id, key, text = ids[low + r].as_py(), keys[low + r].as_py(), texts[low + r].as_py()
+                doc_id, key, text, known = ids[low + r], keys[low + r], texts[low + r].as_py(), {}
                 words = text.encode().split()
-                if runs[low + r].as_py() is None:
-                    out.append((_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
-                    continue
-                owners = np.full(max(0, len(words) - WINDOW + 1), -1, dtype=np.int64)  # by window; -1 for none
-                has_owner, told = np.zeros(len(owners), dtype=bool), np.zeros(len(owners), dtype=bool)
-                known = {(x["anchor"], x["whole"]): (x["owner"], x["shared"]) for x in runs[low + r].as_py()}
+                for x in marks[low + r].as_py() or ():
+                    if x["last"] is not None or (x["anchor"], x["whole"]) not in known:
+                        known[x["anchor"], x["whole"]] = (x["last"], x["mixed"])
                 own = slice(first[r], first[r + 1])
-                for b, n, a, w in zip((begin[own] - some.first[r]).tolist(), size[own].tolist(), anchor[own].tolist(), whole[own].tolist()):
-                    owner, shared = known.get((a, w), (doc_id, False))
-                    if owner < doc_id:
-                        owners[b : b + n], has_owner[b : b + n] = owner, True
-                    elif shared:
-                        told[b : b + n] = True
-                for x in singles[low + r].as_py() or ():
-                    if x["key"] != key:  # of another text of this doc_id
-                        continue
-                    if x["owner"] < doc_id:
-                        owners[x["place"]], has_owner[x["place"]] = x["owner"], True
-                    else:
-                        told[x["place"]] = True
-                for kind, wanted, marks in ((_PASSAGE, told, told.astype(np.int64)), (_RUN, has_owner, owners)):
-                    edges = np.flatnonzero(np.concatenate([[True], (wanted[1:] != wanted[:-1]) | (marks[1:] != marks[:-1]), [True]])) if len(wanted) else np.zeros(0, int)
-                    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                        if wanted[b]:
-                            owner = doc_id if kind == _PASSAGE else int(owners[b])
-                            out.append((kind, owner, doc_id, key, b, b" ".join(words[b : e + WINDOW - 1]).decode(), 0, None))
-                out.append((_WHOLE, None, doc_id, key, 0, text, len(words), None) if has_owner.any() else (_DONE, None, doc_id, key, 0, None, len(words), _digest(words)))
-            yield batch(out)
-            out = []
+                found = len(out)
+                for b, n, a, w in zip((begin[own] - some.first[r]).tolist(), size[own].tolist(), anchor[own].tolist(), whole[own].tolist()) if known else ():
+                    if (a, w) in known:
+                        last, mixed = known[a, w]
+                        out.append((_RUN, a, doc_id, key, b, last is not None, last, mixed, b" ".join(words[b : b + n + WINDOW - 1]).decode(), 0, None))
+                whole_text = len(out) > found
+                out.append((_WHOLE if whole_text else _DONE, None, doc_id, key, 0, None, None, None, text if whole_text else None, len(words), None if whole_text else _digest(words)))
+            yield _batch(out, _PIECE)
+
+
+def _single(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the single windows of runs, by place in the run."""
+    for frame in frames:
+        bodies = as_strings(frame.column("body"))
+        for low, high in slices(bodies):
+            some = Words(bodies.slice(low, high - low))
+            windows = np.diff(some.first) - WINDOW + 1
+            row = np.repeat(np.arange(high - low), windows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            window = window_hashes(some.hashes(), WINDOW)[some.first[:-1][row] + place] if len(row) else np.zeros(0, U64)
+            names = ("doc_id", "key", "start", "last")
+            kept = [pa.array(frame.column(c).to_numpy(zero_copy_only=False)[low:high][row].astype(np.int64)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), *kept, pa.array(place.astype(np.int32))], ["window", *names, "place"])
+
+
+def _stretches(places: list[int]) -> list[tuple[int, int]]:
+    """Runs of consecutive numbers, as first and last."""
+    found: list[tuple[int, int]] = []
+    for p in sorted(places):
+        if found and found[-1][1] == p - 1:
+            found[-1] = (found[-1][0], p)
+        else:
+            found.append((p, p))
+    return found
+
+
+_PASSAGE = "anchor long, owner long, body string"
+
+
+def _passages(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of runs that are made of the given windows."""
+    for frame in frames:
+        out = []
+        for anchor, owner, body, places in zip(*(frame.column(c).to_pylist() for c in ("anchor", "doc_id", "body", "places"))):
+            words = body.split(" ")
+            out += [(anchor, owner, " ".join(words[a : b + WINDOW])) for a, b in _stretches(places)]
+        yield _batch(out, _PASSAGE)
 
 
-class PhraseBook:
-    """An Aho-Corasick automaton of the phrases at the anchors of some passages, each (owner, words)."""
+_DEALT = "shard long, kind int, owner long, doc_id long, key long, start long, body string"
+
+
+def _by_window(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of anchors with very many passages, window by window; equal windows get equal shards."""
+    for frame in frames:
+        out = []
+        for shard, kind, owner, doc_id, key, start, body in zip(*(frame.column(c.split()[0]).to_pylist() for c in _DEALT.split(", "))):
+            words = body.split(" ")
+            hashes = window_hashes(Words(pa.array([body])).hashes(), WINDOW).view(np.int64).tolist()
+            out += [(shard ^ h, kind, owner, doc_id, key, start + p, " ".join(words[p : p + WINDOW])) for p, h in enumerate(hashes)]
+        yield _batch(out, _DEALT)
 
-    SEVERAL = 8  # places of one phrase that hits are grown at; runs that need more are searched for as they stand
+
+class PhraseBook:
+    """An Aho-Corasick automaton of the anchors of some passages, each (owner, words)."""
 
     def __init__(self, passages: list[tuple[int, str]]):
         import ahocorasick
 
-        self.passages = [(owner, body.split(" ")) for owner, body in dict.fromkeys(passages)]
-        self.bodies: dict[int, list[str]] = defaultdict(list)
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for number, (owner, words) in enumerate(self.passages):
-            self.bodies[owner].append(f" {' '.join(words)} ")
-            for at in self._anchors(words):
-                known = places[" " + " ".join(words[at : at + PHRASE]) + " "]
-                if len(known) < self.SEVERAL:
-                    known.append((number, at))
+        self.owners: dict[str, int] = {}  # of each window, the first document that has it
         self.automaton = ahocorasick.Automaton()
-        for phrase, known in places.items():
-            self.automaton.add_word(phrase, known)
+        for owner, body in passages:
+            words = body.split(" ")
+            for at in self._anchors(body):
+                self.automaton.add_word(" " + " ".join(words[at : at + ANCHOR]) + " ", True)
+            ends = [0, *accumulate(len(w) + 1 for w in words)]
+            for p in range(len(words) - WINDOW + 1):
+                window = body[ends[p] : ends[p + WINDOW] - 1]
+                self.owners[window] = min(owner, self.owners.get(window, owner))
         self.automaton.make_automaton()
+        self.seen: dict[str, list[tuple[int, int]]] = {}
 
     @staticmethod
-    def _anchors(words: list[str]) -> list[int]:
+    def _anchors(body: str) -> list[int]:
         """Where the anchors of a passage's windows stand: in each window the first place of its least hash."""
-        found = window_hashes(Words(pa.array([" ".join(words)])).hashes(), ANCHOR)
+        found = window_hashes(Words(pa.array([body])).hashes(), ANCHOR)
         span = WINDOW - ANCHOR + 1
         near = np.lib.stride_tricks.sliding_window_view(found, span) if len(found) >= span else np.zeros((0, span))
         return np.unique(np.arange(len(near)) + near.argmin(axis=1)).tolist() if len(near) else []
 
-    def locate(self, doc_id: int, owner: int, body: str) -> list[tuple[int, int]]:
-        """Word ranges of `body` that are passages of documents before doc_id, WINDOW words or more each."""
-        words = body.split(" ")
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        found: list[tuple[int, int]] = []
-        n = len(words)
-        seen: dict[tuple[int, int], int] = {}
-        for end, known in self.automaton.iter(f" {body} "):
-            at = bisect_right(ends, end - 1) - PHRASE + 1 if end else 0
-            if found and found[-1][0] <= max(0, at - WINDOW + ANCHOR) and found[-1][1] >= min(n, at + WINDOW):
-                continue
-            for number, place in known:
-                whose, other = self.passages[number]
-                if whose >= doc_id or seen.get((number, at - place), 0) > at:
-                    continue
-                low = high = 0
-                while low < min(at, place) and words[at - low - 1] == other[place - low - 1]:
-                    low += 1
-                while high < min(n - at, len(other) - place) and words[at + high] == other[place + high]:
-                    high += 1
-                seen[number, at - place] = at + high
-                if low + high >= WINDOW:
-                    found.append((at - low, at + high))
-        open_windows = np.ones(max(0, n - WINDOW + 1), dtype=bool)
-        for low, high in found:
-            open_windows[low : high - WINDOW + 1] = False
-        for at in np.flatnonzero(open_windows).tolist():
-            passage = " " + " ".join(words[at : at + WINDOW]) + " "
-            if any(passage in b for b in self.bodies.get(owner, ())):
-                found.append((at, at + WINDOW))
+    def _met(self, body: str) -> list[tuple[int, int]]:
+        """Place and owner of each window of `body` around a phrase of the book that is in the book as a whole."""
+        ends = [0, *accumulate(len(w) + 1 for w in body.split(" "))]
+        last, found, open_from = len(ends) - 1 - WINDOW, [], 0
+        for end, _ in self.automaton.iter(f" {body} "):
+            at = bisect_left(ends, end) - ANCHOR  # the word that the phrase begins with
+            for p in range(max(open_from, at + ANCHOR - WINDOW), min(at, last) + 1):
+                owner = self.owners.get(body[ends[p] : ends[p + WINDOW] - 1])
+                if owner is not None:
+                    found.append((p, owner))
+            open_from = max(open_from, at + 1)
         return found
 
+    def locate(self, doc_id: int, body: str) -> list[tuple[int, int]]:
+        """Word ranges of `body` that are passages of documents before doc_id, WINDOW words or more each."""
+        found = self.seen.get(body)
+        if found is None:
+            if len(self.seen) >= 4096:
+                self.seen.clear()
+            found = self.seen[body] = self._met(body)
+        return [(a, b + WINDOW) for a, b in _stretches([p for p, owner in found if owner < doc_id])]
+
+
+_RANGE = "doc_id long, key long, low long, high long"
+_BOOK, _STREAM = 0, 1
+
 
 def _located(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by shard, passages first: compile, then stream the runs."""
     shard, book, passages = None, None, []
     for frame in frames:
         out = []
-        for s, kind, owner, doc_id, key, start, body in zip(*(frame.column(c).to_pylist() for c in ("shard", "kind", "owner", "doc_id", "key", "start", "body"))):
+        for s, kind, owner, doc_id, key, start, body in zip(*(frame.column(c.split()[0]).to_pylist() for c in _DEALT.split(", "))):
             if s != shard:
                 shard, book, passages = s, None, []
-            if kind == _PASSAGE:
+            if kind == _BOOK:
                 passages.append((owner, body))
                 continue
             if book is None:
                 book, passages = PhraseBook(passages), []
-            out += [(doc_id, key, start + low, start + high) for low, high in book.locate(doc_id, owner, body)]
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "key", "low", "high"])
+            out += [(doc_id, key, start + low, start + high) for low, high in book.locate(doc_id, body)]
+        yield _batch(out, _RANGE)
 
 
 def _cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,23 +254,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """Pieces of all documents, see _PIECE: passages of owners, runs of others, whole texts of those that may lose words, and the others' results."""
+    """Pieces of all documents, see _PIECE: runs whose anchors recur, whole texts of documents with such runs, and the others' results."""
     keyed = _keyed(docs)
     named = keyed.where("doc_id is not null")
     all_runs = table(named.select("doc_id", "text").mapInArrow(_all_runs, "anchor long, whole long, doc_id long"), "runs")
-    anchors = all_runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("whole") != F.max("whole")).alias("mixed"))
-    shared = all_runs.join(anchors.where("a < b").select("anchor", "mixed"), "anchor")
-    firsts = shared.groupBy("anchor", "whole").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    runs = table(shared.join(firsts, ["anchor", "whole"]).select("doc_id", "anchor", "whole", "owner", (F.col("owner") < F.col("last")).alias("shared"), (F.col("mixed") & (F.col("owner") == F.col("doc_id"))).alias("open")), "shared-runs")
-    # The texts are shuffled once: both joins read the same exchange.
-    asked = runs.where("open").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole")).alias("asked"))
-    windows = named.join(asked, "doc_id").select("doc_id", "key", "text", "asked").mapInArrow(_windows, "window long, doc_id long, key long, place int")
-    owners = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
-    singles = windows.join(owners, "window").groupBy("doc_id").agg(F.collect_set(F.struct("key", "place", "owner")).alias("singles"))
-    lists = runs.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole", "owner", "shared")).alias("runs"))
-    pieces = named.join(lists, "doc_id", "left").join(singles, "doc_id", "left").select("doc_id", "key", "text", "runs", "singles")
-    nameless = keyed.where("doc_id is null").select("doc_id", "key", "text", F.lit(None).cast(pieces.schema["runs"].dataType).alias("runs"), F.lit(None).cast(pieces.schema["singles"].dataType).alias("singles"))
-    return table(pieces.unionByName(nameless).mapInArrow(_pieces, _PIECE), "pieces")
+    anchors = all_runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("whole") != F.max("whole")).alias("mixed"), F.count("*").alias("_n"))
+    anchors = table(anchors.where("a < b").select("anchor", "mixed", "_n"), "anchors")
+    shared = table(join_dealt(all_runs, anchors.select("anchor", "mixed"), ["anchor"], anchors.select("anchor", "_n")), "shared-runs")
+    firsts = shared.groupBy("anchor", "whole").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("mixed").alias("mixed"))
+    marks = firsts.select("doc_id", "anchor", "whole", "last", "mixed").unionByName(shared.select("doc_id", "anchor", "whole"), allowMissingColumns=True)
+    lists = marks.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole", "last", "mixed")).alias("marks"))
+    pieces = named.join(lists, "doc_id", "left").select("doc_id", "key", "text", "marks")
+    nameless = keyed.where("doc_id is null").withColumn("marks", F.lit(None).cast(pieces.schema["marks"].dataType))
+    return table(pieces.unionByName(nameless.select(pieces.columns)).mapInArrow(_pieces, _PIECE), "pieces")
+
+
+def _book(runs: DataFrame) -> DataFrame:
+    """(anchor, owner, body): the passages that recur, each of their windows in its first document only."""
+    offered = runs.where("owned")
+    single = offered.where("mixed").select("doc_id", "key", "start", "last", "body").mapInArrow(_single, "window long, doc_id long, key long, start long, last long, place int")
+    first = single.groupBy("window").agg(F.min(F.struct("doc_id", "key", "start", "place")).alias("x"), F.max("last").alias("last")).where("x.doc_id < last")
+    places = first.select("x.*").groupBy("doc_id", "key", "start").agg(F.collect_set("place").alias("places"))
+    mixed = offered.where("mixed").join(places, ["doc_id", "key", "start"]).dropDuplicates(["doc_id", "key", "start"]).select("anchor", "doc_id", "body", "places").mapInArrow(_passages, _PASSAGE)
+    plain = offered.where("not mixed and doc_id < last").select("anchor", F.col("doc_id").alias("owner"), "body")
+    return table(mixed.unionByName(plain).dropDuplicates(["anchor", "owner", "body"]), "book")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -281,18 +290,26 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     batches(spark)
     pieces = _candidates(docs)
-    parts = pieces.where(F.col("kind") <= _RUN).select("kind", "owner", "doc_id", "key", "start", "body")
-    size = parts.groupBy("owner").agg(F.sum(F.when(F.col("kind") == _RUN, F.length("body")).otherwise(0)).alias("run"), F.sum(F.when(F.col("kind") == _PASSAGE, F.length("body")).otherwise(0)).alias("book"))
-    total = size.agg(F.sum("book")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    hot = size.where(F.col("run") > STREAM_BYTES).select("owner", F.ceil(F.col("run") / STREAM_BYTES).cast("int").alias("salts"))
-    salted = parts.join(hot, "owner", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    salted = salted.withColumn("salt", F.explode(F.when(F.col("kind") == _PASSAGE, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "salts").cast("int")))))
-    dealt = salted.withColumn("shard", F.struct(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("owner"), "salt"))
-    dealt = dealt.withColumn("shard", F.xxhash64("shard")).drop("salt", "salts").repartition("shard").sortWithinPartitions("shard", "kind")
-    ranges = dealt.select("shard", "kind", "owner", "doc_id", "key", "start", "body").mapInArrow(_located, _RANGE)
-    ranges = ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    whole = pieces.where(F.col("kind") == _WHOLE).select("doc_id", "key", "body")
-    cut = whole.join(ranges, ["doc_id", "key"], "left").select("doc_id", "body", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    runs = pieces.where(F.col("kind") == _RUN)
+    book = _book(runs)
+    sizes = book.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
+    shards = max(1, -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    # Few anchors: their texts weigh STREAM_BYTES or SHARD_BYTES each.
+    hot = runs.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > STREAM_BYTES).select("anchor", F.ceil(F.col("bytes") / STREAM_BYTES).cast("int").alias("salts"))
+    wide = sizes.where(F.col("bytes") > SHARD_BYTES).select("anchor", F.lit(True).alias("wide"))
+    rows = book.select("anchor", F.lit(_BOOK).alias("kind"), "owner", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("start"), "body")
+    rows = rows.unionByName(runs.select("anchor", F.lit(_STREAM).alias("kind"), F.lit(None).cast("long").alias("owner"), "doc_id", "key", "start", "body"))
+    rows = rows.join(F.broadcast(table(hot, "hot")), "anchor", "left").join(F.broadcast(table(wide, "wide")), "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salts = F.when(F.col("kind") == _BOOK, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "salts").cast("int")))
+    rows = rows.withColumn("salt", F.explode(salts))
+    columns = [c.split()[0] for c in _DEALT.split(", ")]
+    narrow = rows.where("wide is null").withColumn("shard", F.xxhash64(F.pmod(F.xxhash64("anchor"), F.lit(shards)), "salt")).select(columns)
+    by_window = rows.where("wide").withColumn("shard", F.xxhash64("anchor", "salt")).select(columns).mapInArrow(_by_window, _DEALT)
+    by_window = by_window.withColumn("shard", F.pmod("shard", F.lit(16 * shards)))
+    dealt = narrow.unionByName(by_window).repartition("shard").sortWithinPartitions("shard", "kind")
+    ranges = dealt.mapInArrow(_located, _RANGE)
+    ranges = ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("low", "high")).alias("ranges")).select(F.xxhash64("doc_id", "key").alias("row"), "ranges")
+    whole = pieces.where(F.col("kind") == _WHOLE).select("doc_id", F.xxhash64("doc_id", "key").alias("row"), "body")
+    cut = join_ones(whole, ranges, "row", F.size("ranges") * 16 + 32, how="left").select("doc_id", "body", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     done = pieces.where(F.col("kind") == _DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(done)

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lodestrata.llm import substring
+from lodestrata.llm import session, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,14 +45,32 @@ def test_against_brute_force(spark, seed):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
-def test_a_hot_owner_is_dealt_to_several_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("shard", [300, 3_000])
+def test_hot_and_wide_anchors_are_dealt_to_several_tasks(spark, monkeypatch, shard):
     monkeypatch.setattr(substring, "STREAM_BYTES", 500)
-    monkeypatch.setattr(substring, "SHARD_BYTES", 300)
+    monkeypatch.setattr(substring, "SHARD_BYTES", shard)
+    monkeypatch.setattr(session, "HOT_ROWS", 3)
     rows = [(k, " ".join(f"p{j}" for j in range(k % 3, 70)) + f" tail{k}") for k in range(30)]
+    line = " ".join(f"l{j}" for j in range(30))
+    rows += [(100 + k, " ".join(f"x{k // 2}-{j}" for j in range(30)) + f" {line} " + " ".join(f"y{k // 2}-{j}" for j in range(30))) for k in range(24)]
     got = substring.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+def test_only_the_automaton_finds_passages():
+    passage = " ".join(f"p{j}" for j in range(70))
+    book = substring.PhraseBook([(3, passage)])
+    body = f"a b {passage} c"
+    assert book.locate(5, body) == [(2, 72)] and book.locate(3, body) == []
+    import ahocorasick
+
+    book.automaton = ahocorasick.Automaton()
+    book.automaton.add_word("another phrase", True)
+    book.automaton.make_automaton()
+    book.seen.clear()
+    assert book.locate(5, body) == []
+
+
 def test_hard_rows(hard, none):
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     assert sorted((tuple(r) for r in substring.cut_repeats(hard).collect()), key=repr) == brute(rows)
