@@ -4,7 +4,7 @@ Fingerprints are first made distinct, so copies are one. Two of them within the
 blocks their bits are cut into: with two blocks more than the radius, on two at least. Each pair of blocks is a key; fingerprints of equal
 key form a shard, and each shard is a BK-tree whose children are keyed by their integer Hamming distance to the parent.
 A search follows only the edges within the radius. The trees are built where their queries are instead of being
-broadcast: what a broadcast would hold grows with the corpus. A shard too large for one task is several trees (see buckets.py).
+broadcast: what a broadcast would hold grows with the corpus. A shard too large for one task is several trees, each met by a part of the shard at a time (see buckets.py).
 
 Stages ask for a Jaccard similarity of longer shingles instead, which fingerprints tell too roughly: similar_documents finds candidates
 by least values of the shingle sets and compares the sets.
@@ -131,11 +131,11 @@ def _links(frames: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
                 root[x] = x = root[root[x]]
             return x
 
-        for b, value, indexed, node in zip(*(frame.column(c).to_pylist() for c in ("block", "fingerprint", "indexed", "node"))):
+        for b, value, indexed, inner, node in zip(*(frame.column(c).to_pylist() for c in ("block", "fingerprint", "indexed", "inner", "node"))):
             if b != block:
                 block, tree, own, root = b, BKTree(), [], {}
             near = {}
-            for at in tree.search(value, radius):
+            for at in tree.search(value, radius) if inner or not indexed else ():
                 near.setdefault(top(own[at]), own[at])
             out += [(node, x) for x in near.values()]
             least = min(near, default=node)
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(a * parts + b).alias("which"), part[a].alias("x"), part[b].alias("y")) for a, b in combinations(range(parts), 2)])
     rows = nodes.withColumn("bucket", F.explode(keys)).withColumn("bucket", F.xxhash64("bucket"))
     batches(spark)
-    links = blocks(rows, "bucket", "fingerprint", TREE).select("block", "fingerprint", "indexed", "node").mapInArrow(lambda frames: _links(frames, radius), "a long, b long")
+    links = blocks(rows, "bucket", "fingerprint", TREE).select("block", "fingerprint", "indexed", "inner", "node").mapInArrow(lambda frames: _links(frames, radius), "a long, b long")
     groups = components(links)
     heads = nodes.join(groups, nodes["node"] == groups["node"], "left").select("fingerprint", F.coalesce("component", nodes["node"]).alias("component_id"))
     return found.join(heads, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -252,30 +252,29 @@ class Shard:
 
 def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each block links that join whatever the links of all its similar pairs join."""
-    block, nodes, sets, shard, root, out = None, [], [], None, {}, []
+    block, nodes, sets, shard, root, out, inside = None, [], [], None, {}, [], True
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    def look(node: int, values: np.ndarray, joins: bool) -> None:
+    def look(node: int, values: np.ndarray) -> None:
         near = {}
         for at in shard.similar(values, percent).tolist():
             near.setdefault(top(nodes[at]), nodes[at])
         out.extend((node, x) for x in near.values() if x != node)
-        if joins:
-            least = min(near)
-            for x in near:
-                root[x] = least
+        least = min(near, default=node)
+        for x in near:
+            root[x] = least
 
     def close() -> None:
         nonlocal shard
         if sets and shard is None:
             shard = Shard(sets)
             root.update((x, x) for x in nodes)
-            for node, values in zip(nodes, sets):
-                look(node, values, True)
+            for node, values in zip(nodes, sets) if inside else ():
+                look(node, values)
 
     def drained() -> pa.RecordBatch:
         columns = list(zip(*out)) or [(), ()]
@@ -283,10 +282,10 @@ def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     for frame in frames:
-        for b, indexed, node, members in zip(*(frame.column(c).to_pylist() for c in ("block", "indexed", "node", "members"))):
+        for b, indexed, inner, node, members in zip(*(frame.column(c).to_pylist() for c in ("block", "indexed", "inner", "node", "members"))):
             if b != block:
                 close()
-                block, nodes, sets, shard, root = b, [], [], None, {}
+                block, nodes, sets, shard, root, inside = b, [], [], None, {}, inner
             values = np.frombuffer(members, dtype=np.uint64)
             if indexed:
                 nodes.append(node)
@@ -294,7 +293,7 @@ def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             else:
                 close()
                 if shard is not None:
-                    look(node, values, False)
+                    look(node, values)
         yield drained()
     close()
     yield drained()
@@ -319,7 +318,7 @@ def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: in
     members = _sets(wanted, shingle).select("shingles", "members").join(clusters, "shingles").dropDuplicates(["shingles"])
     members = table(members.select("node", "shingles", "component", "members"), "members")
     batches(docs.sparkSession)
-    links = blocks(members, "component", "shingles", SHARD).select("block", "indexed", "node", "members").mapInArrow(lambda frames: _similar(frames, percent), "a long, b long")
+    links = blocks(members, "component", "shingles", SHARD).select("block", "indexed", "inner", "node", "members").mapInArrow(lambda frames: _similar(frames, percent), "a long, b long")
     groups = components(links)
     heads = nodes.join(groups, nodes["node"] == groups["node"], "left").select("shingles", F.coalesce("component", nodes["node"]).alias("component_id"))
     return found.select("doc_id", "shingles").join(heads, "shingles", "left").select("doc_id", "shingles", "component_id")

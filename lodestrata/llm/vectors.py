@@ -3,7 +3,10 @@
 Equal vectors of a label are first made one class, so copies cost nothing. A class's unit vector is turned by random
 signs and fast Hadamard transforms, three times; its hash is the largest coordinate and that coordinate's sign. A table joins two such
 hashes to a bucket. A class lives in one bucket of each table and also looks into the likeliest next ones. Whoever
-meets in a bucket is compared by its cosine in double precision; only pairs at the threshold or above leave the task.
+meets in a bucket is compared by its cosine in double precision.
+
+What is dealt to buckets is light: a class's number and no vector, unless the vectors are too many to broadcast. A pair is counted only in the first of the
+buckets it can meet in, so a block gives each class's number of links and a forest that joins what its pairs join, not the pairs.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from pyspark.sql import functions as F
 
 from .buckets import blocks
 from .components import components
-from .session import batches, table
+from .session import batches, join_ones, table
 from .words import U64, mix
 
 TABLES, PROBES, BLOCK, SEED = 8, 3, 1024, 20
-_ROWS = "bucket long, node long, n long, vector binary, home boolean"
-_PAIRS = "a long, b long, na long, nb long"
+_CLASSES = "node long, n long, vector binary, buckets array<long>"
+_FOUND = "forest boolean, a long, b long"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -64,51 +67,97 @@ def buckets(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES, see
     return found
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that squares of very large or small components stay in range
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _hashed(frames: Iterator[pa.RecordBatch], tables: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """Each class with its unit vector and its buckets: table by table its own, then those it looks into."""
     for frame in frames:
         nodes, labels, counts = (np.array(frame.column(c).to_pylist(), dtype=np.int64) for c in ("node", "label_key", "n"))
         lists = frame.column("vector")
         sizes = np.array([len(v.values) for v in lists], dtype=np.int64)
         for d in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == d)
-            x = np.array([lists[int(k)].values.to_numpy(zero_copy_only=False) for k in at], dtype=np.float64)
-            x /= np.abs(x).max(axis=1)[:, None]  # so that squares of very large or small components stay in range
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = _unit(np.array([lists[int(k)].values.to_numpy(zero_copy_only=False) for k in at], dtype=np.float64))
             found = buckets(x, tables, probes)
             found = mix(found + mix(labels[at].view(U64) + U64(d))[:, None, None]).view(np.int64)
             width = tables * (1 + probes)
-            raw = [row.tobytes() for row in x]
-            rows = np.repeat(np.arange(len(at)), width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.reshape(-1)), pa.array(nodes[at][rows]), pa.array(counts[at][rows]), pa.array([raw[r] for r in rows.tolist()], pa.binary()), pa.array(np.tile(np.arange(1 + probes) == 0, len(at) * tables))],
-                ["bucket", "node", "n", "vector", "home"],
-            )
+            lists_ = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(counts[at]), pa.array([row.tobytes() for row in x], pa.binary()), lists_], ["node", "n", "vector", "buckets"])
 
 
-def _compared(frames: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows by block, those indexed first: compare each with those indexed before it."""
-    block, index, known, counts = None, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The one bucket that counts the pair, for each row of two arrays pairs x tables x buckets, each class's own bucket first.
+
+    A pair can meet where one of the two looks into, or lives in, the other's own bucket. Of such tables the first counts, and there
+    of two buckets the one with the lesser number.
+    """
+    mine, yours = (a[:, :, :1] == b).any(axis=2), (b[:, :, :1] == a).any(axis=2)
+    table = (mine | yours).argmax(axis=1)
+    row = np.arange(len(a))
+    home_a, home_b = a[row, table, 0], b[row, table, 0]
+    return np.where(mine[row, table] & yours[row, table], np.minimum(home_a, home_b), np.where(mine[row, table], home_a, home_b))
+
+
+def _block(frame: dict[str, np.ndarray], least: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one block: (node, how many it has here), and a forest of (node, least node of its tree)."""
+    node, n, home, first = (frame[c] for c in ("node", "n", "home", "indexed"))
+    x = np.stack([np.frombuffer(v, dtype=np.float64) for v in frame["vector"]])
+    own = np.stack(frame["buckets"]).reshape(len(node), -1, 1 + probes)
+    bucket, inner = frame["bucket"][0], bool(frame["inner"].all())
+    at = np.flatnonzero(home)
+    links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+    pairs = []
+    for k in range(0, len(node), 1024):
+        q, h = np.nonzero(x[k : k + 1024] @ x[at].T >= least - 1e-9)
+        q, h = q + k, at[h]
+        # Each pair once: within a shard by number, between two shards from the second; only own buckets are indexed.
+        both = home[q]
+        keep = (q != h) & (~both | (q > h)) if inner else (first[q] != first[h]) & (~both | ~first[q])
+        q, h = q[keep], h[keep]
+        keep = np.einsum("ij,ij->i", x[q], x[h]) >= least
+        q, h = q[keep], h[keep]
+        keep = _first_meeting(own[q], own[h]) == bucket
+        pairs.append(np.stack([q[keep], h[keep]]))
+    a, b = np.concatenate(pairs, axis=1)
+    np.add.at(links, a, n[b])
+    np.add.at(links, b, n[a])
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        was = root.copy()
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == was).all():
+            break
+    linked, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(node)))
+    return np.stack([node[linked], links[linked]]), np.stack([node[moved], node[root[moved]]])
+
+
+def _compared(frames: Iterator[pa.RecordBatch], least: float, probes: int) -> Iterator[pa.RecordBatch]:
+    """Rows by block: gather a block, then compare."""
+    names, held, block = ("bucket", "node", "n", "home", "indexed", "inner", "vector", "buckets"), [], None
+
+    def closed() -> pa.RecordBatch:
+        rows = {c: np.concatenate([h[c] for h in held]) for c in names[:6]} | {c: [v for h in held for v in h[c]] for c in names[6:]}
+        held.clear()
+        counts, forest = _block(rows, least, probes)
+        kind = np.concatenate([np.zeros(counts.shape[1], bool), np.ones(forest.shape[1], bool)])
+        both = np.concatenate([counts, forest], axis=1).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[0]), pa.array(both[1])], ["forest", "a", "b"])
+
     for frame in frames:
-        ids, own, indexed, n = (frame.column(c).to_numpy(zero_copy_only=False) for c in ("block", "node", "indexed", "n"))
-        vectors = frame.column("vector").to_pylist()
+        ids = frame.column("block").to_numpy(zero_copy_only=False)
         cut = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]) if len(ids) else np.zeros(1, int)
-        pairs: list[np.ndarray] = []
         for low, high in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            x = np.frombuffer(b"".join(vectors[low:high]), dtype=np.float64).reshape(high - low, -1)
-            if ids[low] != block:
-                block, index, known, counts = ids[low], x[:0], own[:0], n[:0]
-            new = np.flatnonzero(indexed[low:high].astype(bool))
-            index = np.concatenate([index, x[new]])
-            known, counts = np.concatenate([known, own[low:high][new]]), np.concatenate([counts, n[low:high][new]])
-            for k in range(0, high - low, 1024):
-                q, i = np.nonzero(x[k : k + 1024] @ index.T >= least - 1e-9)
-                a, b = own[low:high][k + q], known[i]
-                exact = np.einsum("ij,ij->i", x[k + q], index[i]) >= least
-                keep = (a != b) & exact
-                a, b, na, nb = a[keep], b[keep], n[low:high][k + q][keep], counts[i][keep]
-                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.where(a < b, na, nb), np.where(a < b, nb, na)]))
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((4, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["a", "b", "na", "nb"])
+            if held and ids[low] != block:
+                yield closed()
+            block, part = ids[low], frame.slice(low, high - low)
+            held.append({c: part.column(c).to_numpy(zero_copy_only=False) for c in names[:5]} | {"inner": part.column("inner").to_numpy(zero_copy_only=False), "vector": part.column("vector").to_pylist(), "buckets": [v.values.to_numpy() for v in part.column("buckets")]})
+    if held:
+        yield closed()
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.93, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -118,23 +167,29 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, tables: int = TA
     null, zero or empty or holds a null or non-finite component, or whose label or vec_id is null, links with nothing; neither
     do vectors of different lengths. Rows that repeat a vector are linked to one another. An empty table gives no rows.
     """
-    spark = embeddings.sparkSession
-    batches(spark)
+    batches(embeddings.sparkSession)
     e = embeddings
-    rows = e.select(e["vec_id"].cast("long").alias("vec_id"), e["label"].alias("label"), e["embedding"].cast("array<double>").alias("vector"))
+    plain = F.transform(e["embedding"].cast("array<double>"), lambda v: v + F.lit(0.0))  # no negative zero
+    rows = e.select(e["vec_id"].cast("long").alias("vec_id"), e["label"].alias("label"), plain.alias("vector"))
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda v: v != 0)
-    usable = F.coalesce(usable, F.lit(False))
-    rows = rows.withColumn("usable", usable)
-    classes = table(rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
-    hashed = classes.select("node", "n", "vector", F.xxhash64("label").alias("label_key"))
-    hashed = hashed.mapInArrow(lambda frames: _hashed(frames, tables, probes), _ROWS)
-    near = blocks(hashed, "bucket", "node", BLOCK).withColumn("indexed", F.col("indexed") & F.col("home"))
-    near = near.select("block", "node", "n", "vector", "indexed").sortWithinPartitions("block", F.desc("indexed"), "node")
-    pairs = table(near.mapInArrow(lambda frames: _compared(frames, least), _PAIRS).distinct(), "pairs")
-    degrees = pairs.select(F.col("a").alias("node"), F.col("nb").alias("k")).unionByName(pairs.select(F.col("b").alias("node"), F.col("na").alias("k"))).groupBy("node").agg(F.sum("k").alias("others"))
-    groups = components(pairs.select("a", "b"))
-    heads = classes.join(degrees, "node", "left").join(groups, "node", "left").select("label", "vector", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("head"))
+    # 128 bits stand for a label and vector, so that vectors are shuffled once, to find one of each class.
+    mark = F.struct(F.xxhash64("label", "vector").alias("x"), F.xxhash64(F.lit(SEED), "label", "vector").alias("y"))
+    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("mark", mark)
+    classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    hashed = classes.select("node", "n", "vector", F.xxhash64("label").alias("label_key")).mapInArrow(lambda frames: _hashed(frames, tables, probes), _CLASSES)
+    hashed = table(hashed, "hashed")
+    light = hashed.select("node", F.posexplode("buckets").alias("at", "bucket")).select("node", "bucket", (F.col("at") % (1 + probes) == 0).alias("home"))
+    # A class may have a bucket twice, as its own and as one it looks into.
+    light = light.groupBy("node", "bucket").agg(F.max("home").alias("home"))
+    near = blocks(light, "bucket", "node", BLOCK, "_n > 1 and _homes > 0")
+    near = join_ones(near, hashed, "node", F.octet_length("vector") + F.size("buckets") * 8 + 32)
+    near = near.select("block", "bucket", "node", "n", "home", "indexed", "inner", "vector", "buckets").repartition("block").sortWithinPartitions("block", F.desc("indexed"), "node")
+    found = table(near.mapInArrow(lambda frames: _compared(frames, least, probes), _FOUND), "links")
+    degrees = found.where("not forest").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    groups = components(found.where("forest").select("a", "b"))
+    ids = rows.where("usable").groupBy("mark").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    heads = ids.join(degrees, "node", "left").join(groups, "node", "left").select("mark", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("head"))
     single = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = rows.where("usable").join(heads, ["label", "vector"]).select("vec_id", F.col("links").alias("n_links"), F.col("head").alias("component_id"))
+    linked = rows.where("usable").select("vec_id", "mark").join(heads, "mark").select("vec_id", F.col("links").alias("n_links"), F.col("head").alias("component_id"))
     return linked.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
