@@ -23,7 +23,7 @@ from .components import components
 from .session import batches, join_ones, table
 from .words import U64, mix
 
-TABLES, PROBES, BLOCK, SEED = 8, 3, 1024, 20
+TABLES, PROBES, BLOCK, SEED = 9, 1, 512, 20
 _CLASSES = "node long, n long, vector binary, buckets array<long>"
 _FOUND = "forest boolean, a long, b long"
 
@@ -179,9 +179,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, tables: int = TA
     classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     hashed = classes.select("node", "n", "vector", F.xxhash64("label").alias("label_key")).mapInArrow(lambda frames: _hashed(frames, tables, probes), _CLASSES)
     hashed = table(hashed, "hashed")
-    light = hashed.select("node", F.posexplode("buckets").alias("at", "bucket")).select("node", "bucket", (F.col("at") % (1 + probes) == 0).alias("home"))
+    homes = F.filter("buckets", lambda x, k: k % (1 + probes) == 0)
     # A class may have a bucket twice, as its own and as one it looks into.
-    light = light.groupBy("node", "bucket").agg(F.max("home").alias("home"))
+    light = hashed.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"), homes.alias("homes")).select("node", "bucket", F.array_contains("homes", F.col("bucket")).alias("home"))
     near = blocks(light, "bucket", "node", BLOCK, "_n > 1 and _homes > 0")
     near = join_ones(near, hashed, "node", F.octet_length("vector") + F.size("buckets") * 8 + 32)
     near = near.select("block", "bucket", "node", "n", "home", "indexed", "inner", "vector", "buckets").repartition("block").sortWithinPartitions("block", F.desc("indexed"), "node")
