@@ -91,8 +91,9 @@ def query_map(query: Column) -> Column:
 
 
 def part_numbers(body: Column) -> Column:
-    """The part numbers that a completion request lists, in order."""
-    return F.transform(F.regexp_extract_all(body, F.lit(r"<PartNumber>\s*(\d+)\s*</PartNumber>"), F.lit(1)), lambda x: x.cast("int"))
+    """The part numbers that a completion request lists, in order; what is no unsigned number of 32 bits is skipped."""
+    found = F.transform(F.regexp_extract_all(body, F.lit(r"<PartNumber>\s*(\d+)\s*</PartNumber>"), F.lit(1)), lambda x: x.try_cast("long"))
+    return F.filter(found, lambda x: x.between(0, 0xFFFFFFFF))
 
 
 def human_bytes(size: Column) -> Column:

@@ -18,16 +18,17 @@ def reachable(log: DataFrame, chunk_rows: DataFrame, pins: DataFrame | None = No
 def swept(stored: DataFrame, live: DataFrame, condemned: DataFrame, now: int, grace: int) -> DataFrame:
     """One sweep: chunk, condemned_at and state of each stored chunk.
 
-    A live chunk is pardoned (condemned_at null). One that isn't is condemned now, or erased when it was condemned by an
-    earlier sweep at least `grace` seconds ago; so nothing goes on its first sweep.
+    A live chunk is pardoned (condemned_at null). One that isn't is condemned now, or, if an earlier sweep condemned it, erased
+    after at least `grace` seconds and waiting until then; so nothing goes on its first sweep.
     """
     marked = stored.select("chunk").join(live.select("chunk", F.lit(True).alias("_live")), "chunk", "left").join(condemned.select("chunk", "condemned_at"), "chunk", "left")
-    state = F.when(F.col("_live"), "live").when(F.col("condemned_at").isNull(), "condemned").when(F.lit(now) - F.col("condemned_at") >= grace, "erased").otherwise("condemned")
+    state = F.when(F.col("_live"), "live").when(F.col("condemned_at").isNull(), "condemned").when(F.lit(now) - F.col("condemned_at") >= grace, "erased").otherwise("waiting")
     since = F.when(F.col("_live"), F.lit(None).cast("long")).otherwise(F.coalesce("condemned_at", F.lit(now).cast("long")))
     return marked.select("chunk", since.alias("condemned_at"), state.alias("state"))
 
 
 def sweep_counts(sweep: DataFrame) -> DataFrame:
+    """What this sweep did: chunks found live, condemned by it and erased by it. Those that wait are none of these."""
     states = [F.count_if(F.col("state") == s).alias(s) for s in ("live", "condemned", "erased")]
     return sweep.agg(*states)
 

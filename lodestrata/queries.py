@@ -456,7 +456,7 @@ def gc_first_sweep(spark, sf_dir):
 
 
 _SWEEP = f"""SELECT p_partkey AS chunk, CAST(CASE WHEN live.chunk IS NOT NULL THEN NULL ELSE coalesce(condemned_at, {_NOW}) END AS BIGINT) AS condemned_at,
-    CASE WHEN live.chunk IS NOT NULL THEN 'live' WHEN condemned_at IS NULL THEN 'condemned' WHEN {_NOW} - condemned_at >= {_GRACE} THEN 'erased' ELSE 'condemned' END AS state
+    CASE WHEN live.chunk IS NOT NULL THEN 'live' WHEN condemned_at IS NULL THEN 'condemned' WHEN {_NOW} - condemned_at >= {_GRACE} THEN 'erased' ELSE 'waiting' END AS state
     FROM part LEFT JOIN live ON p_partkey = live.chunk LEFT JOIN earlier ON p_partkey = earlier.chunk"""
 
 
@@ -834,3 +834,6 @@ def stream_gc_timer(spark, sf_dir):
     """Users as chunks: an error is a sweep that finds the chunk dead, any other event one that finds it live."""
     rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("hash"), F.unix_timestamp("ts").alias("at"), (F.col("event_type") != "error").alias("live"))
     return streams.finished(streams.collected(rows, 3600), "append")
+
+
+from lodestrata import store_queries  # noqa: E402, F401  more queries, which use the tables above
