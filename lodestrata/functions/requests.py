@@ -62,7 +62,8 @@ def chained_signature(secret: pd.Series, scope: pd.Series, text: pd.Series) -> p
 
 
 def basic_header(user: Column, password: Column) -> Column:
-    return F.concat(F.lit("Basic "), F.base64(F.encode(F.concat(user, F.lit(":"), password), "UTF-8")))
+    coded = F.base64(F.encode(F.concat(user, F.lit(":"), password), "UTF-8"))
+    return F.concat(F.lit("Basic "), F.regexp_replace(coded, "[\r\n]", ""))
 
 
 def basic_credentials(header: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def joined(order: str = "pos", data: str = "data") -> Column:
+    """Aggregate: the values of a binary column in order, end to end; null where there is none. One pass, however many there are."""
+    return F.expr(f"listagg({data}, X'') WITHIN GROUP (ORDER BY {order})")
+
+
 def reassembled(chunks: DataFrame) -> DataFrame:
     """object_id and its data from (object_id, pos, data). One object's bytes are one value, as when it was put."""
-    parts = chunks.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("x"))
-    return parts.select("object_id", F.aggregate("x", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["data"])).alias("data"))
+    return chunks.groupBy("object_id").agg(joined().alias("data"))
 
 
 def verified(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -20,8 +24,8 @@ def verified(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     good = chunks.where(F.concat(F.lit("sha256:"), F.sha2("data", 256)) == F.col("hash")).dropDuplicates(["hash"])
     wanted = manifests.select("object_id", F.posexplode("chunks").alias("pos", "hash"))
-    rows = wanted.join(good, "hash", "left").groupBy("object_id").agg(F.bool_and(F.col("data").isNotNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("x"))
-    joined = manifests.join(rows, "object_id", "left")
-    data = F.aggregate(F.coalesce("x", F.array().cast("array<struct<pos:int,data:binary>>")), F.lit("").cast("binary"), lambda a, p: F.concat(a, p["data"]))
+    rows = wanted.join(good, "hash", "left").groupBy("object_id").agg(F.bool_and(F.col("data").isNotNull()).alias("whole"), joined().alias("data"))
+    found = manifests.join(rows, "object_id", "left")
+    data = F.coalesce("data", F.lit("").cast("binary"))
     exact = (F.col("fidelity") != "exact") | (F.sha2(data, 256) == F.col("sha256"))
-    return joined.select("object_id", (F.coalesce("whole", F.lit(True)) & F.coalesce(exact, F.lit(False))).alias("ok"))
+    return found.select("object_id", (F.coalesce("whole", F.lit(True)) & F.coalesce(exact, F.lit(False))).alias("ok"))

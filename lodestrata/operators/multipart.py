@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.integrity import joined
+
 
 def parts(rows: DataFrame) -> DataFrame:
     """(upload_id, part_number, seq, ...): of a repeated part number the last counts."""
@@ -23,6 +25,5 @@ def completed(found: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     else:
         wanted = orders.select("upload_id", F.posexplode("order").alias("pos", "part_number"))
     rows = wanted.join(found, ["upload_id", "part_number"], "left")
-    joined = rows.groupBy("upload_id").agg(F.count("*").alias("n_parts"), F.bool_and(F.col("data").isNotNull()).alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("x"))
-    data = F.aggregate("x", F.lit("").cast("binary"), lambda a, p: F.concat(a, p["data"]))
-    return joined.select("upload_id", "n_parts", "ok", F.when(F.col("ok"), F.octet_length(data)).cast("long").alias("size"), F.when(F.col("ok"), F.sha2(data, 256)).alias("sha256"))
+    whole = rows.groupBy("upload_id").agg(F.count("*").alias("n_parts"), F.bool_and(F.col("data").isNotNull()).alias("ok"), joined().alias("data"))
+    return whole.select("upload_id", "n_parts", "ok", F.when(F.col("ok"), F.octet_length("data")).cast("long").alias("size"), F.when(F.col("ok"), F.sha2("data", 256)).alias("sha256"))

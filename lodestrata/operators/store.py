@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.codecs import decode
 from lodestrata.functions.hashing import address
 from lodestrata.functions.scalars import shard
+from lodestrata.operators.integrity import joined
 
 SEPARATOR = ","
 
@@ -34,12 +35,11 @@ def fetched(manifests: DataFrame, chunks: DataFrame, codec: str = "none") -> Dat
     """object_id, ok, size: each stored chunk checked against its address, then decoded and joined in order, and the whole checked against the manifest's digest."""
     wanted = manifests.select("object_id", F.posexplode("chunks").alias("pos", "hash"))
     good = chunks.where(address(F.col("data")) == F.col("hash")).dropDuplicates(["hash"]).select("hash", decode(F.col("data"), codec).alias("data"))
-    rows = wanted.join(good, "hash", "left").groupBy("object_id").agg(F.bool_and(F.col("data").isNotNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("x"))
-    joined = manifests.join(rows, "object_id", "left")
-    data = F.unhex(F.array_join(F.transform("x", lambda p: F.hex(p["data"])), ""))
-    data = F.when(F.size("chunks") > 0, data).otherwise(F.lit("").cast("binary"))
+    rows = wanted.join(good, "hash", "left").groupBy("object_id").agg(F.bool_and(F.col("data").isNotNull()).alias("whole"), joined().alias("data"))
+    found = manifests.join(rows, "object_id", "left")
+    data = F.when(F.size("chunks") > 0, F.col("data")).otherwise(F.lit("").cast("binary"))
     ok = F.coalesce("whole", F.lit(True)) & F.coalesce(F.sha2(data, 256) == F.col("sha256"), F.lit(False))
-    return joined.select("object_id", ok.alias("ok"), F.when(F.coalesce("whole", F.lit(True)), F.octet_length(data)).cast("long").alias("size"))
+    return found.select("object_id", ok.alias("ok"), F.when(F.coalesce("whole", F.lit(True)), F.octet_length(data)).cast("long").alias("size"))
 
 
 def created_pots(pots: DataFrame, names: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def health(stats: DataFrame, keys: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(keys.agg(F.count("*").alias("n_keys")))).withColumn("status", F.lit("ok"))
 
 
-def leftovers(spark, folder: str, prefix: str = ".tmp-") -> DataFrame:
-    """path and length of temporary files that a crash left below the folder: what a sweep would remove."""
+def leftovers(spark, folder: str, prefix: str = "tmp-") -> DataFrame:
+    """path and length of temporary files that a crash left below the folder: what a sweep would remove. Hidden files are never read, so they are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     return files.where(F.element_at(F.split("path", "/"), -1).startswith(prefix))

@@ -810,12 +810,12 @@ def stream_current_pointer(spark, sf_dir):
     return streams.finished(streams.pointers(streams.event_stream(spark, sf_dir)))
 
 
-@query("stream_uploads", "SELECT CAST(user_id AS VARCHAR) AS upload_id, count(*) FILTER (event_type <> 'error') AS n_parts FROM events WHERE event_id < 600 GROUP BY user_id")
+@query("stream_uploads", "SELECT CAST(user_id AS VARCHAR) AS upload_id, count(*) FILTER (event_type <> 'error') AS n_parts FROM events GROUP BY user_id")
 def stream_uploads(spark, sf_dir):
     """Users as uploads: each event but an error is a part; all end complete."""
-    rows = streams.event_stream(spark, sf_dir).where("event_id < 600 and event_type <> 'error'")
+    rows = streams.event_stream(spark, sf_dir).where("event_type <> 'error'")
     parts = rows.select(F.col("user_id").cast("string").alias("upload_id"), F.col("event_id").alias("seq"), F.lit("part").alias("op"), F.col("event_id").alias("part_number"), F.lit(1).cast("long").alias("size"))
-    ends = streams.event_stream(spark, sf_dir).where("event_id < 600").select(F.col("user_id").cast("string").alias("upload_id"), F.lit(1 << 40).cast("long").alias("seq"), F.lit("complete").alias("op"), F.lit(0).cast("long").alias("part_number"), F.lit(0).cast("long").alias("size"))
+    ends = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("upload_id"), F.lit(1 << 40).cast("long").alias("seq"), F.lit("complete").alias("op"), F.lit(0).cast("long").alias("part_number"), F.lit(0).cast("long").alias("size"))
     done = streams.finished(streams.uploads(parts.unionByName(ends)), "append")
     return done.groupBy("upload_id").agg(F.max("n_parts").alias("n_parts"))
 
@@ -829,11 +829,48 @@ def stream_fanout(spark, sf_dir):
     return streams.finished(streams.fan_out(streams.event_stream(spark, sf_dir).select("event_id", "event_type"), _hooks(spark)).select("id", "event_id"), "append")
 
 
-@query("stream_gc_timer")
+_SEEN = "o AS (SELECT CAST(user_id AS VARCHAR) AS hash, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type <> 'error' AS live, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS r FROM events)"
+
+
+@query(
+    "stream_gc_timer",
+    f"""WITH RECURSIVE {_SEEN}, s(hash, r, since, erased_at) AS (
+        SELECT hash, r, CASE WHEN live THEN -1 ELSE sec END, NULL::BIGINT FROM o WHERE r = 1 UNION ALL
+        SELECT o.hash, o.r, CASE WHEN live THEN -1 WHEN since < 0 THEN sec WHEN sec - since >= 3600 THEN -1 ELSE since END, CASE WHEN NOT live AND since >= 0 AND sec - since >= 3600 THEN sec END
+        FROM s JOIN o ON o.hash = s.hash AND o.r = s.r + 1)
+    SELECT hash, erased_at FROM s WHERE erased_at IS NOT NULL""",
+)
 def stream_gc_timer(spark, sf_dir):
     """Users as chunks: an error is a sweep that finds the chunk dead, any other event one that finds it live."""
-    rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("hash"), F.unix_timestamp("ts").alias("at"), (F.col("event_type") != "error").alias("live"))
+    rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("hash"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("live"))
     return streams.finished(streams.collected(rows, 3600), "append")
 
 
+@query(
+    "stream_gc_expiry",
+    """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS hash, epoch_ms(ts) AS ms, event_type <> 'error' AS live FROM events), alive AS (SELECT hash, max(ms) FILTER (live) AS last FROM o GROUP BY hash),
+    dead AS (SELECT o.hash, min(ms) AS since FROM o JOIN alive USING (hash) WHERE NOT live AND (last IS NULL OR ms > last) GROUP BY o.hash)
+    SELECT hash, (since + 3600000) // 1000 AS erased_at FROM dead WHERE since + 3600000 < (SELECT max(ms) FROM o)""",
+)
+def stream_gc_expiry(spark, sf_dir):
+    """The same by timers: a chunk last seen dead goes when the clock passes its grace time, without being seen again."""
+    at = F.col("ts")
+    rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("hash"), at.alias("at"), F.unix_millis(at).alias("ms"), (F.col("event_type") != "error").alias("live"))
+    return streams.finished(streams.expiring(rows, 3600), "append")
+
+
+@query(
+    "stream_understanding",
+    """SELECT CAST(user_id AS VARCHAR) AS object_id, CAST(strlen(arg_max(props, event_id)) AS BIGINT) AS n_bytes, arg_max(event_type, event_id) AS auto0,
+        arg_max(CAST(event_id AS VARCHAR), event_id) FILTER (event_id % 2 = 0) AS auto1 FROM events GROUP BY user_id""",
+)
+def stream_understanding(spark, sf_dir):
+    """Users as objects, events as writes of one or two tags: the last vector counts, and tags are merged."""
+    event = streams.event_stream(spark, sf_dir)
+    tags = F.when(F.col("event_id") % 2 == 0, F.array("event_type", F.col("event_id").cast("string"))).otherwise(F.array("event_type"))
+    writes = event.select(F.col("event_id").alias("seq"), F.lit("t").alias("tenant"), F.col("user_id").cast("string").alias("object_id"), F.encode("props", "UTF-8").alias("data"), tags.alias("tags"))
+    found = spark.read.parquet(streams.understanding(writes, search.length_and_sum, streams.folder(spark)))
+    return found.select("object_id", F.get("vector", 0).cast("long").alias("n_bytes"), F.col("tags")["auto:0"].alias("auto0"), F.col("tags")["auto:1"].alias("auto1"))
+
+
 from lodestrata import store_queries  # noqa: E402, F401  more queries, which use the tables above

@@ -168,7 +168,7 @@ def test_sweeps_take_two_passes_and_pardon(spark):
     first = gc.swept(stored, live, none, 1000, 10)
     assert state(first) == {0: (None, "live"), **{k: (1000, "condemned") for k in (1, 2, 3)}}
     held = first.where("condemned_at is not null")
-    assert state(gc.swept(stored, live, held, 1005, 10))[1] == (1000, "condemned")
+    assert state(gc.swept(stored, live, held, 1005, 10))[1] == (1000, "waiting")
     assert state(gc.swept(stored, live, held, 1010, 10))[1] == (1000, "erased")
     assert state(gc.swept(stored, live.union(spark.createDataFrame([(2,)], "chunk long")), held, 1011, 10))[2] == (None, "live")
 
