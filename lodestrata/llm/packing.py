@@ -1,10 +1,10 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
 Each task walks its own documents. The whole windows of a document become sequences at once; the rest of it is placed
-online: an array counts, for each fill level, the windows that are open at it, and the rest goes to the level that
-leaves the least sum of squared counts. Windows that stay open are refilled from one another when they become too many
-or the task ends, cutting pieces where needed; a task's last, shorter window is cut at powers of two, which need no padding.
-So memory is bounded by `most_open` windows, and no rows move between tasks.
+online: an array counts, for each of 32 fill levels, the windows that are open at it, and the rest goes to the level that
+leaves the least sum of squared counts. With that few levels the rule has few windows open, also after few documents. Those that stay open when the task
+ends are refilled from one another, cutting pieces where needed (so too if they should be more than `most_open`, which bounds memory); a task's last,
+shorter window is cut at powers of two, which need no padding. No rows move between tasks.
 """
 
 from __future__ import annotations
@@ -106,13 +106,17 @@ def _runs(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 class SumOfSquares:
-    """Open windows by fill level. A piece is (doc_id, start, ids, doc_tokens); full windows and refilled ones come out of take()."""
+    """Open windows by fill level. A piece is (doc_id, start, ids, doc_tokens); full windows and refilled ones come out of take().
 
-    def __init__(self, window: int, most_open: int, base: int):
-        self.window, self.most_open, self.next = window, most_open, base
-        self.count = np.zeros(window + 1, dtype=np.int64)
-        self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
-        self.n_open = 0
+    A level is `step` tokens wide. A window with less room than that counts as full: the next piece gives its first tokens to
+    close it, and what is left of the piece is placed by the rule.
+    """
+
+    def __init__(self, window: int, most_open: int, base: int, levels: int = 32):
+        self.window, self.step, self.most_open, self.next = window, max(1, window // levels), most_open, base
+        self.open: list[list[tuple[int, list[tuple]]]] = [[] for _ in range(-(-window // self.step))]  # the lengths are the level array
+        self.nearly: tuple[int, list[tuple]] | None = None
+        self.n_open = self.refilled = 0
         self.done: list[tuple] = []
 
     def _close(self, pieces: list[tuple]) -> None:
@@ -130,35 +134,53 @@ class SumOfSquares:
         if whole < total:
             self._place((doc_id, whole, ids[whole:].copy(), total))
 
-    def _place(self, piece: tuple) -> None:
-        size, w = len(piece[2]), self.window
-        # The sum of squares after the move, less the sum before it, for each level that the piece fits on.
-        change = 2 * self.count[size : w + 1] + 1
-        change[w - size] = 0  # a full window is no longer counted
-        leave = self.count[: w - size + 1]
-        change = change - np.where(leave > 0, 2 * leave - 1, 0)
-        change[1:][leave[1:] == 0] = np.iinfo(np.int64).max
-        level = w - size - int(np.argmin(change[::-1]))  # of equals, the fullest
-        pieces = self.open[level].pop() if level else []
-        self.count[level] -= level > 0
-        self.n_open -= level > 0
+    def _put(self, fill: int, pieces: list[tuple], piece: tuple) -> None:
+        """Add the piece to a window that has room for it."""
         pieces.append(piece)
-        if level + size == w:
+        fill += len(piece[2])
+        if fill == self.window:
             self._close(pieces)
-            return
-        self.open[level + size].append(pieces)
-        self.count[level + size] += 1
-        self.n_open += 1
+        elif fill > self.window - self.step:
+            self.nearly = (fill, pieces)
+        else:
+            self.open[fill // self.step].append((fill, pieces))
+            self.n_open += 1
+
+    def _place(self, piece: tuple) -> None:
+        if self.nearly is not None:
+            (fill, pieces), self.nearly = self.nearly, None
+            doc_id, start, ids, total = piece
+            room = self.window - fill
+            self._put(fill, pieces, (doc_id, start, ids[:room], total))
+            if len(ids) <= room:
+                return
+            piece = (doc_id, start + room, ids[room:], total)
+        size, counts = len(piece[2]), [len(x) for x in self.open]
+        best, chosen = None, None
+        for level in range(-1, len(counts)):  # -1: a new window
+            if level >= 0 and not counts[level]:
+                continue
+            fill = self.open[level][-1][0] if level >= 0 else 0
+            if fill + size > self.window:
+                continue
+            after = (fill + size) // self.step if fill + size <= self.window - self.step else -1
+            # The sum of squares after the move, less the sum before it.
+            change = 0 if after == level else (2 * counts[after] + 1 if after >= 0 else 0) - (2 * counts[level] - 1 if level >= 0 else 0)
+            if best is None or change <= best:  # of equals, the fullest
+                best, chosen = change, level
+        fill, pieces = self.open[chosen].pop() if chosen >= 0 else (0, [])
+        self.n_open -= chosen >= 0
+        self._put(fill, pieces, piece)
         if self.n_open > self.most_open:
             self._refill()
 
     def _refill(self) -> list[tuple]:
         """Fill the open windows from one another; what is left over stays as one open window."""
-        pieces = [p for level in reversed(self.open) for window in level for p in window]
-        self.open, self.n_open = [[] for _ in range(self.window)], 0
-        self.count[:] = 0
+        windows = ([self.nearly] if self.nearly is not None else []) + [w for level in reversed(self.open) for w in level]
+        self.refilled += sum(fill for fill, _ in windows)
+        self.open, self.nearly, self.n_open = [[] for _ in self.open], None, 0
         filling, room = [], self.window
-        for doc_id, start, ids, total in pieces:
+        for doc_id, start, ids, total in [p for _, pieces in windows for p in pieces]:
             while len(ids):
                 filling.append((doc_id, start, ids[:room], total))
                 start, ids, room = start + len(ids[:room]), ids[room:], room - len(ids[:room])
@@ -166,8 +188,8 @@ class SumOfSquares:
                     self._close(filling)
                     filling, room = [], self.window
         if filling:
-            self.open[self.window - room].append(filling)
-            self.count[self.window - room] = self.n_open = 1
+            self.open[(self.window - room) // self.step].append((self.window - room, filling))
+            self.n_open = 1
         return filling
 
     def finish(self) -> None:

@@ -22,11 +22,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _seed_sql(table: str, key: str) -> str:
+def _seed_sql(table: str, key: str, least: int) -> str:
     """Positions and seeds of a table's words w, mask by mask."""
     kept = [" || ' ' || ".join(f"w[i + {k}]" for k in mask) for mask in decontaminate.MASKS]
     return " UNION ALL ".join(
-        f"SELECT {key}, {m} AS mask, unnest(range(1, len(w) - 8)) AS i, unnest([{seed} for i in range(1, len(w) - 8)]) AS seed FROM {table} WHERE len(w) >= 10" for m, seed in enumerate(kept)
+        f"SELECT {key}, {m} AS mask, unnest(range(1, len(w) - 8)) AS i, unnest([{seed} for i in range(1, len(w) - 8)]) AS seed FROM {table} WHERE len(w) >= {least}" for m, seed in enumerate(kept)
     )
 
 
@@ -37,10 +37,11 @@ def _seed_sql(table: str, key: str) -> str:
         SELECT doc_id, [x for x in string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM documents
     ), b AS (
         SELECT item_id, [x for x in string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM benchmark
-    ), ds AS ({_seed_sql("d", "doc_id")}
-    ), bs AS ({_seed_sql("b", "item_id")}
+    ), ds AS ({_seed_sql("d", "doc_id", 10)}
+    ), bs AS ({_seed_sql("b", "item_id", 15)}
     ), met AS (
         SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS distance FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+        UNION SELECT doc_id, item_id, unnest(range(1 - len(b.w), len(d.w))) FROM d, b WHERE len(b.w) BETWEEN 5 AND 14
     ), judged AS (
         SELECT doc_id, item_id, least(20, len(b.w)) AS compared,
             [CASE WHEN j + distance > 0 AND coalesce(b.w[j] = d.w[j + distance], false) THEN 1 ELSE 0 END for j in range(1, len(b.w) + 1)] AS same
@@ -49,7 +50,7 @@ def _seed_sql(table: str, key: str) -> str:
         SELECT *, list_max([list_sum(same[k : k + compared - 1]) for k in range(1, len(same) - compared + 2)]) AS agreed FROM judged
     )
     SELECT doc_id, item_id, CAST(max(agreed) AS BIGINT) AS agreed, CAST(max(compared) AS BIGINT) AS compared
-    FROM agreed WHERE agreed >= ceil(compared * 0.8) GROUP BY doc_id, item_id
+    FROM agreed WHERE agreed >= CASE WHEN compared < 10 THEN compared ELSE ceil(compared * 0.8) END GROUP BY doc_id, item_id
     """,
 )
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

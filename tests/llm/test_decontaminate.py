@@ -54,3 +54,36 @@ def test_clean_rows_stay_beside_a_leaking_one_of_the_same_id(spark):
     docs = spark.createDataFrame([(None, leak), (None, fine), (None, None), (1, leak), (1, fine), (2, fine)], "doc_id long, text string")
     kept = d.clean(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=repr) == sorted([(None, fine), (None, None), (1, fine), (2, fine)], key=repr)
+
+
+def test_items_of_every_length_are_found_with_as_many_words_changed_as_count(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from compare import connect, same
+
+    from lodestrata.llm.queries import ORACLES
+
+    draw = random.Random(9)
+    items, docs, planted = [], [], {}
+    for n in range(1, 25):
+        for k in range(12):
+            number = 100 * n + k
+            item = [f"x{number}x{j}" for j in range(n)]
+            changed = 0 if n < 10 else n - -(-n * 4 // 5) if n < 20 else 4
+            copy = list(item)
+            for at in draw.sample(range(min(n, 20)), changed):
+                copy[at] = "changed"
+            items.append((number, " ".join(item)))
+            docs.append((number, " ".join([*draw.choices(WORDS, k=15), *copy, *draw.choices(WORDS, k=15)])))
+            planted[number] = n
+    columns = lambda rows, key: pa.table({key: [r[0] for r in rows], "text": [r[1] for r in rows]})
+    con = connect("/root/testdata/sf0.001")
+    for name, table in (("documents", columns(docs, "doc_id")), ("benchmark", columns(items, "item_id"))):
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+        con.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    found = d.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert all(a == b for a, b in pairs)
+    recall = {n: sum((k, k) in pairs for k, m in planted.items() if m == n) / 12 for n in range(1, 25)}
+    assert all(recall[n] == (n >= 5) for n in range(1, 15)) and all(recall[n] >= 0.9 for n in range(15, 25))
+    same(found, con, ORACLES["op1_benchmark_decontamination"])

@@ -55,15 +55,53 @@ def test_placement_minimises_the_sum_of_squares():
     packer = packing.SumOfSquares(16, 1000, 0)
     for k in range(300):
         size = int(draw.integers(1, 16))
-        count = packer.count.copy()
+        count = np.array([len(x) for x in packer.open] + [0])
         packer._place((k, 0, np.zeros(size, np.uint32), size))
-        after = int((packer.count[:16] ** 2).sum())
+        after = sum(len(x) ** 2 for x in packer.open)
         best = min(
             int((c**2).sum()) for level in range(0, 17 - size) if level == 0 or count[level] for c in [np.array([count[x] - (x == level and level > 0) + (x == level + size and x < 16) for x in range(16)])]
         )
         assert after == best
 
 
+def test_levels_of_several_tokens_minimise_it_too():
+    """Whatever is placed, no other window that is offered (each level's last, or a new one) would have left a lesser sum."""
+    draw = np.random.default_rng(4)
+    packer = packing.SumOfSquares(2048, 10_000, 0)
+    for k in range(2000):
+        size = int(draw.integers(1, 2048))
+        held, packer.nearly = packer.nearly, None
+        if held is not None:
+            packer._close(held[1])
+        before = [list(x) for x in packer.open]
+        packer._place((k, 0, np.zeros(size, np.uint32), size))
+        offered = [(-1, 0), *[(level, x[-1][0]) for level, x in enumerate(before) if x]]
+        sums = []
+        for level, fill in offered:
+            if fill + size <= 2048:
+                counts = [len(x) for x in before]
+                if level >= 0:
+                    counts[level] -= 1
+                if fill + size <= 2048 - packer.step:
+                    counts[(fill + size) // packer.step] += 1
+                sums.append(sum(c * c for c in counts))
+        assert sum(len(x) ** 2 for x in packer.open) == min(sums)
+
+
+def test_the_rule_places_nearly_all_tokens_also_in_small_tasks():
+    sizes = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy() // 4 + 1
+    for tasks in (1, 8, 32):
+        refilled = 0
+        for own in np.array_split(sizes, tasks):
+            packer = packing.SumOfSquares(2048, 4096, 0)
+            for k, n in enumerate(own.tolist()):
+                packer.add(k, np.zeros(n, np.uint32))
+            packer.finish()
+            refilled += packer.refilled
+        print(tasks, refilled / sizes.sum())
+        assert refilled < 0.2 * sizes.sum()
+
+
 def test_few_open_windows_and_many_give_whole_sequences():
     draw = np.random.default_rng(5)
     for most in (2, 10_000):
