@@ -16,8 +16,8 @@ class Field:
         self.moves = np.zeros((tags, tags), dtype=np.float32)
 
 
-def chains(first: np.ndarray, most: int) -> np.ndarray:
-    """Token numbers of the texts first[r]:first[r + 1], cut into chains of at most `most` tokens, longest first."""
+def chains(first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of the texts first[r]:first[r + 1], cut into chains of at most `most` tokens, longest first; and the number of the chain before each in its text, or -1."""
     sizes = np.diff(first)
     parts = -(-sizes // most)
     text = np.repeat(np.arange(len(sizes)), parts)
@@ -25,43 +25,89 @@ def chains(first: np.ndarray, most: int) -> np.ndarray:
     begin = first[:-1][text] + number * most
     size = np.minimum(most, first[1:][text] - begin)
     order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    before = np.where(number > 0, place[np.maximum(0, np.arange(len(text)) - 1)], -1)[order]
     begin, size = begin[order], size[order]
     width = int(size[0]) if len(size) else 0
     cells = begin[:, None] + np.arange(width)
-    return np.where(np.arange(width) < size[:, None], cells, -1)
+    return np.where(np.arange(width) < size[:, None], cells, -1), before
 
 
-def forward_backward(scores: np.ndarray, moves: np.ndarray, rows: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's tag probabilities, and the expected number of each move if `pairs`; scores are by token and tag."""
+def _live(rows: np.ndarray) -> list[int]:
+    """How many chains are longer than each place."""
+    length = (rows >= 0).sum(axis=1)
+    return [int(np.searchsorted(-length, -t, side="left")) for t in range(rows.shape[1])]
+
+
+def _ahead(likely: np.ndarray, step: np.ndarray, rows: np.ndarray, start: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Forward messages at each place, and those at the end of each chain; start: what comes to its first token."""
+    found, last = [], np.empty_like(start)
+    live = [*_live(rows), 0]
+    for t in range(rows.shape[1]):
+        n = live[t]
+        a = likely[rows[:n, t]] * (found[-1][:n] @ step if t else start)
+        a /= a.sum(axis=1, keepdims=True)
+        found.append(a)
+        last[live[t + 1] : n] = a[live[t + 1] :]
+    return found, last
+
+
+def _behind(likely: np.ndarray, step: np.ndarray, rows: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Backward messages at each place, and what each chain sends to the token before its first; end: what comes to its last token."""
+    found, live, behind = [], _live(rows), end[:0]
+    for t in range(rows.shape[1] - 1, -1, -1):
+        n = live[t]
+        behind = np.concatenate([behind, end[len(behind) : n]])
+        found.append(behind)
+        behind = (likely[rows[:n, t]] * behind) @ step.T
+        behind /= behind.sum(axis=1, keepdims=True)
+    return found[::-1], behind
+
+
+def _settled(sweep, rows: np.ndarray, message: np.ndarray, source: np.ndarray, carry) -> np.ndarray:
+    """The messages that come to chains from those beside them in their texts. They are sent again while they change; a text's are
+    exact after as many turns as it has chains, and mostly after two or three, as a field forgets."""
+    active = np.arange(len(rows))
+    sent = np.empty_like(message)
+    while len(active):
+        sent[active] = sweep(rows[active], message[active])[1]
+        held = np.flatnonzero((source >= 0) & np.isin(source, active))
+        new = carry(sent[source[held]])
+        moved = np.abs(new - message[held]).max(axis=1, initial=0) > 1e-6
+        message[held] = new
+        active = held[moved]
+    return message
+
+
+def forward_backward(scores: np.ndarray, moves: np.ndarray, rows: np.ndarray, pairs: bool = False, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's tag probabilities, and the expected number of each move within chains if `pairs`; scores are by token and tag.
+
+    before: the chain that each goes on from, or -1, where a text is cut into several; messages are carried over the cuts.
+    """
     tags = moves.shape[0]
     marginal = np.full(scores.shape, 1 / tags, dtype=np.float32)
     expected = np.zeros((tags, tags))
     if not rows.size:
         return marginal, expected
-    length = (rows >= 0).sum(axis=1)
-    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(rows.shape[1])]  # chains longer than t
     step = np.exp(moves)
     likely = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
-    ahead = []
-    for t in range(rows.shape[1]):
-        n = live[t]
-        a = likely[rows[:n, t]] * (ahead[-1][:n] @ step if t else np.float32(1))
-        a /= a.sum(axis=1, keepdims=True)
-        ahead.append(a)
-    behind = np.ones((live[-1], tags), dtype=np.float32)
-    for t in range(rows.shape[1] - 1, -1, -1):
-        n = live[t]
-        if len(behind) < n:
-            behind = np.concatenate([behind, np.ones((n - len(behind), tags), dtype=np.float32)])
-        both = ahead[t] * behind
+    start, end = np.ones((len(rows), tags), dtype=np.float32), np.ones((len(rows), tags), dtype=np.float32)
+    if before is not None and (before >= 0).any():
+        after = np.full(len(rows), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        scaled = lambda x: x / x.sum(axis=1, keepdims=True)
+        start = _settled(lambda r, m: _ahead(likely, step, r, m), rows, start, before, lambda x: scaled(x @ step))
+        end = _settled(lambda r, m: _behind(likely, step, r, m), rows, end, after, scaled)
+    ahead, _ = _ahead(likely, step, rows, start)
+    behind, _ = _behind(likely, step, rows, end)
+    for t, (a, b) in enumerate(zip(ahead, behind)):
+        n = len(a)
+        both = a * b
         marginal[rows[:n, t]] = both / both.sum(axis=1, keepdims=True)
-        if t:
-            later = likely[rows[:n, t]] * behind
-            if pairs:
-                joint = ahead[t - 1][:n, :, None] * step[None] * later[:, None, :]
-                expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            behind = later @ step.T
-            behind /= behind.sum(axis=1, keepdims=True)
+        if t and pairs:
+            joint = ahead[t - 1][:n, :, None] * step[None] * (likely[rows[:n, t]] * b)[:, None, :]
+            expected += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return marginal, expected
 
 

@@ -92,42 +92,43 @@ class Model:
         self.languages, self.field = languages, field
 
 
-def fit(docs: DataFrame, per_language: int = 250, most_languages: int = 64, rounds: int = 2, bits: int = BITS) -> Model:
-    """Learn from (doc_id, text, lang): of each of the `most_languages` commonest languages the `per_language` documents whose doc_id hashes lowest.
+def fit(docs: DataFrame, per_language: int = 250, most_rows: int = 16_000, pieces: int = 3_000, rounds: int = 2, bits: int = BITS) -> Model:
+    """Learn from (doc_id, text, lang): of each language the `per_language` documents whose doc_id hashes lowest, fewer where all would be more than
+    `most_rows` (but one at least, so every language can be told), and of their pieces `pieces` of each language.
 
-    Every word of such a document bears the document's language. Its words are cut into pieces; half of these get their ends
-    from pieces of other documents, so that moves between languages are seen.
+    Every word of such a document bears the document's language. Its words are cut into pieces, the last of which overlaps the one before it;
+    half of the pieces get their ends from pieces of other documents, so that moves between languages are seen.
     """
     known = docs.where("lang is not null and doc_id is not null")
+    per_language = max(1, min(per_language, most_rows // max(1, known.select("lang").distinct().count())))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
-    chosen = chosen.join(F.broadcast(common), "lang").select("doc_id", "lang").distinct()
+    chosen = chosen.select("doc_id", "lang").distinct()
     found = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     sample = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])
     languages = sorted(set(sample["lang"]))
     field = Field(1 << bits, max(1, len(languages)))
     kind, first, words = word_kinds(as_strings(pa.array(sample["text"].tolist(), pa.string())))
     number = {x: k for k, x in enumerate(languages)}
-    pieces, marks = [], []
+    made, marks = [], []
     for k, lang in enumerate(sample["lang"]):
         own = kind[first[k] : first[k + 1]]
-        for low in range(0, len(own) - PIECE + 1, PIECE):
-            pieces.append(own[low : low + PIECE])
+        for low in range(0, len(own), PIECE):
+            low = max(0, min(low, len(own) - PIECE))
+            made.append(np.resize(own[low : low + PIECE], PIECE))  # a short text is repeated to a piece
             marks.append(number[lang])
-        if 0 < len(own) < PIECE:  # a short text is repeated to a piece
-            pieces.append(np.resize(own, PIECE))
-            marks.append(number[lang])
-    if len(languages) < 2 or not pieces:
+    if len(languages) < 2 or not made:
         return Model(languages, field)
     draw = np.random.default_rng(7)
-    tokens, tags = np.array(pieces), np.repeat(np.array(marks)[:, None], PIECE, axis=1)
+    tokens, tags = np.array(made), np.repeat(np.array(marks)[:, None], PIECE, axis=1)
     other = draw.permutation(len(tokens))
     for r in np.flatnonzero(draw.random(len(tokens)) < 0.5).tolist():
         cut = int(draw.integers(4, PIECE - 4))
-        tokens[r, cut:], tags[r, cut:] = np.array(pieces[other[r]])[cut:], marks[other[r]]
+        tokens[r, cut:], tags[r, cut:] = made[other[r]][cut:], marks[other[r]]
     flat, at = word_features(words, bits)
-    order = draw.permutation(len(tokens))[:12000]
+    drawn = draw.permutation(len(tokens))
+    own = np.array(marks)[drawn]
+    order = drawn[np.sort(np.concatenate([np.flatnonzero(own == x)[:pieces] for x in range(len(languages))]))]
     return Model(languages, train(flat, at, tokens[order], tags[order], field, rounds))
 
 
@@ -139,7 +140,8 @@ def _predicted(texts: pa.Array, languages: list[str], weights: np.ndarray, moves
         return np.full(len(n), UNKNOWN, dtype=object), np.zeros(len(n)), n, np.zeros(len(n), np.int64)
     bits = (len(weights) - 1).bit_length()
     scores = token_scores(weights, *word_features(words, bits))[kind]
-    marginal, _ = forward_backward(scores, moves, chains(first, CHAIN))
+    rows, before = chains(first, CHAIN)
+    marginal, _ = forward_backward(scores, moves, rows, before=before)
     total = np.concatenate([np.zeros((1, len(languages))), np.cumsum(marginal, axis=0, dtype=np.float64)])
     share = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, n)[:, None]
     best = share.argmax(axis=1)
@@ -155,7 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     score: the mean probability of that language over the words with a letter; n_switches: how often the likeliest
     language changes from a word to the next. No such word, or null text: `und`, 0. Repeated rows are labelled each.
-    A text is cut into chains of CHAIN words, whatever its length.
+    Long texts are worked on in chains of CHAIN words, with messages carried over the cuts.
     """
     spark = docs.sparkSession
     batches(spark)

@@ -141,7 +141,7 @@ def _secrets(draw: np.random.Generator) -> tuple[str, str, str]:
     return forms[int(draw.integers(len(forms)))]()
 
 
-def fit(docs: DataFrame, most: int = 500, rounds: int = 8, piece: int = 40) -> Field:
+def fit(docs: DataFrame, most: int = 500, rounds: int = 8, piece: int = 40, plain: int = 2500) -> Field:
     """Learn the field from the `most` documents (doc_id, text) whose doc_id hashes lowest.
 
     Secrets in them are what the fixed patterns find; made-up ones of several forms are put between their words, so
@@ -179,13 +179,17 @@ def fit(docs: DataFrame, most: int = 500, rounds: int = 8, piece: int = 40) -> F
             inside = np.flatnonzero((tokens.start[own] >= x) & (tokens.end[own] <= y)) + tokens.first[r]
             tags[inside] = INSIDE
             tags[inside[:1]] = BEGIN
-    pieces = [np.arange(low, low + piece) for r in range(len(made)) for low in range(tokens.first[r], tokens.first[r + 1] - piece + 1, piece)]
+    pieces = []
+    for low, high in zip(tokens.first[:-1].tolist(), tokens.first[1:].tolist()):
+        for at in range(low, high, piece):
+            at = max(low, min(at, high - piece))
+            pieces.append(np.resize(np.arange(at, min(at + piece, high)), piece))  # a short text is repeated to a piece
     if not pieces:
         return field
     rows = np.array(pieces)
     secret = (tags[rows] > 0).any(axis=1)
-    plain = draw.permutation(np.flatnonzero(~secret))[: 2500 + 2 * int(secret.sum())]
-    rows = rows[np.sort(np.concatenate([np.flatnonzero(secret), plain]))]
+    without = draw.permutation(np.flatnonzero(~secret))[: plain + 2 * int(secret.sum())]
+    rows = rows[np.sort(np.concatenate([np.flatnonzero(secret), without]))]
     width = found.shape[1]
     return train(found.reshape(-1), np.arange(len(found) + 1) * width, rows, tags[rows], field, rounds, size=64, rate=0.2, decay=3e-4)
 
@@ -214,7 +218,7 @@ def scan(docs: DataFrame, field: Field, shortest: int = 8) -> DataFrame:
     """Secrets of every document, its whole text read: counts by kind, the fixed patterns' digest, and all spans.
 
     One row per row of `docs` (doc_id, text): n_assign, n_access, n_hex, base_sha256, spans, n_crf. A tagged stretch of
-    `shortest` or more characters that touches no pattern's match is a span of kind crf. Null text is empty; an
+    `shortest` or more characters that lies in no pattern's match is a span of kind crf, also where it overlaps one. Null text is empty; an
     empty table gives no rows; repeated rows are scanned each; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -241,7 +245,7 @@ def scan(docs: DataFrame, field: Field, shortest: int = 8) -> DataFrame:
                             last += 1
                         a = len(tokens.data[tokens.bytes[r] : tokens.start[h]].tobytes().decode())
                         b = a + len(tokens.data[tokens.start[h] : tokens.end[last]].tobytes().decode())
-                        if b - a >= shortest and not any(x < b and a < y for x, y, _ in base):
+                        if b - a >= shortest and not any(x <= a and b <= y for x, y, _ in base):
                             spans.append((a, b, len(KINDS), "crf"))
                     spans.sort(key=lambda x: (x[0], x[2]))
                     named = ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in base)

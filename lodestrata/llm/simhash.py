@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import blocks
@@ -325,15 +325,16 @@ def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: in
 
 
 def distinct(docs: DataFrame, shingle: int | None = None, percent: int = STAGE_PERCENT) -> DataFrame:
-    """One row of each group: that of the least doc_id; of rows that share it, the one with the least text.
+    """One row of each group: that of the least doc_id; of rows that share it, the least by text, then by the other columns in order.
 
     Groups are those of near_duplicates, or with `shingle` those of similar_documents. Rows with a null doc_id are in no group; of
-    those with one text, one stays.
+    those with one text, the least one stays. All columns must be of types that can be ordered. An empty table gives no rows.
     """
     found = near_duplicates(docs) if shingle is None else similar_documents(docs, shingle, percent)
     heads = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_lodestrata_n")).withColumnRenamed("doc_id", "_lodestrata_id")
     rows = docs.join(heads, docs["doc_id"].cast("long") == heads["_lodestrata_id"])
-    several = rows.where("_lodestrata_n > 1").withColumn("_lodestrata_rank", F.row_number().over(Window.partitionBy("_lodestrata_id").orderBy("text"))).where("_lodestrata_rank = 1")
+    least = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_lodestrata_least")
+    several = rows.where("_lodestrata_n > 1").groupBy("_lodestrata_id").agg(least).select("_lodestrata_least.*")
     kept = rows.where("_lodestrata_n = 1").select(docs.columns).unionByName(several.select(docs.columns))
-    nameless = docs.where("doc_id is null").groupBy("text").agg(*[F.first(c).alias(c) for c in docs.columns if c != "text"])
+    nameless = docs.where("doc_id is null").groupBy(F.col("text").alias("_lodestrata_text")).agg(least).select("_lodestrata_least.*")
     return kept.unionByName(nameless.select(docs.columns))

@@ -35,3 +35,32 @@ def test_hard_rows(spark, hard, none):
     assert quality.classify(hard, labels).count() == hard.count()
     assert quality.classify(none, labels).count() == 0
     assert {r["score"] for r in quality.classify(hard, labels.limit(0)).collect()} == {0.5}
+
+
+def test_updates_are_those_of_the_published_rule():
+    """FTRL-proximal as published, one coordinate at a time in plain Python."""
+    import math
+
+    import numpy as np
+
+    from lodestrata.llm import quality
+
+    draw = np.random.default_rng(1)
+    model, z, n = quality.FollowTheLeader(bits=4), [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for _ in range(300):
+        at = np.sort(draw.choice(17, int(draw.integers(1, 6)), replace=False))
+        values, label = draw.random(len(at)), int(draw.integers(2))
+        own = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(w * x for w, x in zip(own, values))))
+        for i, w, x in zip(at, own, values):
+            g = (p - label) * x
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha * w
+            n[i] += g * g
+        model.update(at, values, label)
+    assert np.allclose(model.weights(), [weight(i) for i in range(17)])

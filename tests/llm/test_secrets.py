@@ -62,10 +62,48 @@ def test_viterbi_and_forward_backward_against_enumeration():
         assert tuple(crf.viterbi(scores, moves, 0, 0)) == best
         total = sum(np.exp(weight(p)) for p in paths)
         exact = [[sum(np.exp(weight(p)) for p in paths if p[k] == t) / total for t in range(3)] for k in range(n)]
-        found, _ = crf.forward_backward(scores, moves, crf.chains(np.array([0, n]), 100))
+        found, _ = crf.forward_backward(scores, moves, crf.chains(np.array([0, n]), 100)[0])
         assert np.allclose(found, exact, atol=1e-4)
 
 
+def test_messages_are_carried_over_cuts():
+    draw = np.random.default_rng(8)
+    first = np.cumsum([0, 7, 0, 1, 12, 3, 40])
+    scores, moves = draw.normal(size=(first[-1], 4)).astype(np.float32), 2 * draw.normal(size=(4, 4)).astype(np.float32)
+    whole, _ = crf.forward_backward(scores, moves, crf.chains(first, 100)[0])
+    for most in (1, 3, 5, 40):
+        rows, before = crf.chains(first, most)
+        assert np.allclose(crf.forward_backward(scores, moves, rows, before=before)[0], whole, atol=1e-4)
+
+
+def test_secrets_of_forms_that_were_never_made_up(spark):
+    """Forms that fit() doesn't make: other prefixes, alphabets and surroundings. A fixed pattern may match a part, but must not be what counts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    draw = np.random.default_rng(17)
+    some = lambda alphabet, n: "".join(draw.choice(list(alphabet), n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = [
+        lambda: ("", "eyJ" + some(lower + upper + digits, 30) + "." + some(lower + upper + digits + "-_", 60)), lambda: ("AccountKey=", some(lower + upper + digits + "+/", 86) + "=="),
+        lambda: ("", "SG." + some(lower + upper + digits, 22) + "." + some(lower + upper + digits, 43)), lambda: ("pin code ", some(upper + digits, 32)),
+        lambda: ("", "AIza" + some(lower + upper + digits + "-_", 35)), lambda: ("export X=", "pk_test_" + some(lower + upper + digits, 24)),
+    ]
+    plain = [r["text"] for r in docs.where("doc_id between 700 and 900").collect() if not base(r["text"])]
+    rows, placed = [], {}
+    for k, text in enumerate(plain):
+        before, secret = forms[k % len(forms)]()
+        at = text.rfind(" ", 0, len(text) // 2) + 1
+        rows.append((k, f"{text[:at]}{before}{secret} {text[at:]}"))
+        placed[k] = (at + len(before), at + len(before) + len(secret))
+    found = [set() for _ in forms]
+    for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), secret_scan.fit(docs)).collect():
+        a, b = placed[r["doc_id"]]
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("crf")]
+        found[r["doc_id"] % len(forms)].add((r["doc_id"], any(x < b and a < y for x, y in spans)))
+    recall = [sum(hit for _, hit in f) / len(f) for f in found]
+    print("recall by form", [round(x, 2) for x in recall])
+    assert np.mean(recall) > 0.7
+
+
 def test_cutting_at_sure_tokens_keeps_the_best_path(spark):
     import pyarrow as pa
 
