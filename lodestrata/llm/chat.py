@@ -1,12 +1,16 @@
 """Chat formatting with a grammar round trip.
 
-A conversation is rendered turn by turn as `<s>role\\ntext</s>\\n`. The rendered turn is parsed again by a deterministic
-parser; where the recovered role and text differ from the source, or a control string would stand bare inside them, the
-turn is rendered anew as `<s!>role\\ntext</s>\\n` with the conflicting content escaped, and parsed again until it is identical.
+A conversation is rendered turn by turn as `<s>role\\ntext</s>\\n`. The rendered conversation is parsed again by a deterministic
+parser. Turns whose recovered role and text differ from the source are rendered anew as `<s!>role\\ntext</s>\\n` with the conflicting
+content escaped, and the conversation is parsed again, until all its turns are identical. The grammar lets no control string
+stand bare inside a role or text, so such a turn differs, too.
 
 Escaping puts a backslash before each backslash and before the first character of each control string; a role's line
-feeds become `\\n`. Reading drops it, so it is reversible. Rows go to tasks by conversation and stream through in order, so
-a conversation of any length needs the memory of one batch.
+feeds become `\\n`. A turn that still differs has all its characters escaped. Reading drops the backslashes, so it is reversible.
+
+Rows go to tasks by conversation and stream through in order. A long conversation is rendered and parsed batch by batch, which gives
+the same as at once, as the parser reads from left to right and looks at nothing beyond a turn's end mark. So a conversation of any
+length needs the memory of one batch; its digests run over its turns in order, so it is one task's.
 """
 
 from __future__ import annotations
@@ -41,15 +45,14 @@ def unescape(text: str) -> str:
 def parse(formatted: str, at: int = 0) -> tuple[str, str, int] | None:
     """The turn that begins at `at`: role, text and where the next begins; None if there is none.
 
-    A plain turn's role ends at the first line feed and its text at the first end mark. In an escaped turn a
-    backslash takes the character after it out of the grammar.
+    A plain turn's role ends at the first line feed and its text at the first control string, which is the end mark. In an
+    escaped turn a backslash takes the character after it out of the grammar.
     """
     if formatted.startswith("<s>", at):
-        line = formatted.find("\n", at)
-        end = formatted.find("</s>\n", line + 1)
-        if line < 0 or end < 0:
+        line, end = formatted.find("\n", at), _CONTROL.search(formatted, at + 3)
+        if not end or not at < line < end.start() or not formatted.startswith("</s>\n", end.start()):
             return None
-        return formatted[at + 3 : line], formatted[line + 1 : end], end + 5
+        return formatted[at + 3 : line], formatted[line + 1 : end.start()], end.start() + 5
     if not formatted.startswith("<s!>", at):
         return None
     line = _bare(formatted, "\n", at + 4)
@@ -61,22 +64,58 @@ def parse(formatted: str, at: int = 0) -> tuple[str, str, int] | None:
 
 def _bare(text: str, mark: str, at: int) -> int:
     """Where `mark` first stands with no escape before it."""
-    while True:
-        found, slash = text.find(mark, at), text.find("\\", at)
-        if found < 0 or slash < 0 or slash > found:
+    found = text.find(mark, at)
+    while found >= 0:
+        slash = text.find("\\", at, found)
+        if slash < 0:
             return found
         at = slash + 2
+        if at > found:
+            found = text.find(mark, at)
+    return -1
+
+
+def render(role: str, text: str, level: int = 0) -> str:
+    """One turn: plain, with what conflicts escaped (level 1) or with every character escaped (level 2)."""
+    if level == 0:
+        return f"<s>{role}\n{text}</s>\n"
+    if level == 1:
+        return f"<s!>{escape(role, True)}\n{escape(text)}</s>\n"
+    return "<s!>" + "".join("\\" + c for c in role) + "\n" + "".join("\\" + c for c in text) + "</s>\n"
 
 
-def render(role: str, text: str) -> str:
-    """One turn, escaped if it wouldn't be read back as it is."""
-    plain = f"<s>{role}\n{text}</s>\n"
-    if not _CONTROL.search(role) and not _CONTROL.search(text) and parse(plain) == (role, text, len(plain)):
-        return plain
-    escaped = f"<s!>{escape(role, True)}\n{escape(text)}</s>\n"
-    if parse(escaped) != (role, text, len(escaped)):
-        raise ValueError("a turn isn't read back as it was")
-    return escaped
+def round_trip(turns: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]]]:
+    """The turns (role, text) as rendered, and what the parser reads from the rendered conversation: the same turns.
+
+    Behind a turn that differs the parser goes on where the next one was rendered, so one pass names all that differ. In the
+    last pass none does, and each turn is read where the parser left the one before it.
+    """
+    shown, levels = [render(*turn) for turn in turns], [0] * len(turns)
+    while True:
+        conversation, at, read, differ = "".join(shown), 0, [], []
+        for i, turn in enumerate(turns):
+            got = parse(conversation, at)
+            at += len(shown[i])
+            if got == (*turn, at):
+                read.append(got[:2])
+            else:
+                differ.append(i)
+        if not differ:
+            return shown, read
+        for i in differ:
+            if levels[i] == 2:
+                raise ValueError("a turn isn't read back as it was")
+            levels[i] += 1
+            shown[i] = render(*turns[i], levels[i])
+
+
+def _stretches(keys: list) -> Iterator[tuple[int, int]]:
+    """From where to where a batch's rows are of one conversation."""
+    low = 0
+    for high in range(1, len(keys) + 1):
+        if high == len(keys) or keys[high] != keys[low]:
+            yield low, high
+            low = high
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -99,8 +138,11 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            shown = [render(r, t) for r, t in zip(frame.column("role").to_pylist(), frame.column("text").to_pylist())]
-            read = [parse(x) for x in shown]
+            turns, shown, read = list(zip(frame.column("role").to_pylist(), frame.column("text").to_pylist())), [], []
+            for low, high in _stretches(frame.column("conv_id").to_pylist()):
+                more = round_trip(turns[low:high])
+                shown += more[0]
+                read += more[1]
             columns = [*frame.columns, pa.array(shown, pa.string()), pa.array([x[0] for x in read], pa.string()), pa.array([x[1] for x in read], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TURNS.split(", ")])
 
@@ -123,20 +165,21 @@ def digests(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
             return key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
         for frame in frames:
-            done = []
-            for conv, role, text in zip(*(frame.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if state is None or conv != key:
+            done, convs = [], frame.column("conv_id").to_pylist()
+            turns = list(zip(frame.column("role").to_pylist(), frame.column("text").to_pylist()))
+            for low, high in _stretches(convs):
+                if state is None or convs[low] != key:
                     if state is not None:
                         done.append(ended())
-                    key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                shown = render(role, text)
-                role, text, _ = parse(shown)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if role == trained:
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(shown)
+                    key, state = convs[low], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                shown, read = round_trip(turns[low:high])
+                state[0] += len(read)
+                state[4] += sum(map(len, shown))
+                for role, text in read:
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    if role == trained:
+                        state[2] += len(text)
+                        state[3].update(text.encode())
             yield batch(done)
         if state is not None:
             yield batch([ended()])

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -10,12 +12,49 @@ from lodestrata.llm import chat
 PIECES = st.lists(st.sampled_from([*chat.CONTROL, "\\", "\n", "s>", "<", "[", "a", " ", "é", "</s>\n", "\\<s>", "[/INST", "!"]), max_size=12).map("".join)
 
 
+def reread(formatted):
+    """Turns by the parser alone, from the text alone."""
+    at, turns = 0, []
+    while at < len(formatted):
+        role, text, at = chat.parse(formatted, at)
+        turns.append((role, text))
+    return turns
+
+
 @settings(max_examples=500, deadline=None)
-@given(PIECES, PIECES)
-def test_every_turn_is_read_back(role, text):
-    shown = chat.render(role, text)
-    assert chat.parse(shown) == (role, text, len(shown))
-    assert chat.parse("ab" + shown + "<s>x\ny</s>\n", 2)[2] == 2 + len(shown)
+@given(st.lists(st.tuples(PIECES, PIECES), max_size=5))
+def test_every_conversation_is_read_back(turns):
+    shown, read = chat.round_trip(turns)
+    assert read == turns and reread("".join(shown)) == turns
+    for (role, text), x in zip(turns, shown):
+        hard = "\n" in role or any(c in role or c in text for c in chat.CONTROL)
+        assert x.startswith("<s!>" if hard else "<s>")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(PIECES, PIECES), max_size=4), st.lists(st.tuples(PIECES, PIECES), max_size=4))
+def test_batches_of_a_conversation_join(first, second):
+    joined = "".join(chat.round_trip(first)[0] + chat.round_trip(second)[0])
+    assert joined == "".join(chat.round_trip(first + second)[0]) and reread(joined) == first + second
+
+
+def test_escapes_until_identical(monkeypatch):
+    turns = [("user", "a"), ("x\ny", "</s>\n<s>user\nb"), ("user", "\\"), ("assistant", "[INST]\\")]
+    plain = chat.round_trip(turns)[0]
+    monkeypatch.setattr(chat, "escape", lambda text, role=False: text)
+    shown, read = chat.round_trip(turns)
+    assert read == turns and reread("".join(shown)) == turns
+    assert shown[0] == plain[0] and shown[2] == plain[2] and len(shown[1]) > len(plain[1])
+    monkeypatch.setattr(chat, "render", lambda role, text, level=0: f"<s>{role}\n{text}</s>\n")
+    with pytest.raises(ValueError):
+        chat.round_trip(turns)
+
+
+def test_very_long_texts():
+    turns = [("user", "\\" * 2_000_000 + "<s>"), ("assistant", "</s>\n" * 300_000), ("r\n" * 100_000, "word " * 500_000), ("", "")]
+    began = time.monotonic()
+    shown, read = chat.round_trip(turns)
+    assert read == turns and reread("".join(shown)) == turns and time.monotonic() - began < 60
 
 
 def test_digests_and_turns(spark):
