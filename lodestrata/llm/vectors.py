@@ -24,6 +24,7 @@ from .session import batches, join_ones, table
 from .words import U64, mix
 
 TABLES, PROBES, BLOCK, SEED = 9, 1, 512, 20
+SLICE = 1 << 15  # pairs whose vectors are held side by side
 _CLASSES = "node long, n long, vector binary, buckets array<long>"
 _FOUND = "forest boolean, a long, b long"
 
@@ -88,24 +89,29 @@ def _hashed(frames: Iterator[pa.RecordBatch], tables: int, probes: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(counts[at]), pa.array([row.tobytes() for row in x], pa.binary()), lists_], ["node", "n", "vector", "buckets"])
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The one bucket that counts the pair, for each row of two arrays pairs x tables x buckets, each class's own bucket first.
+def _counted(own: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Which of the pairs (a, b) this bucket counts, by rows of own: classes x tables x buckets, each class's own bucket first.
 
     A pair can meet where one of the two looks into, or lives in, the other's own bucket. Of such tables the first counts, and there
-    of two buckets the one with the lesser number.
+    of two buckets the one with the lesser number. Tables are gone through in order, each with the pairs that didn't meet before.
     """
-    mine, yours = (a[:, :, :1] == b).any(axis=2), (b[:, :, :1] == a).any(axis=2)
-    table = (mine | yours).argmax(axis=1)
-    row = np.arange(len(a))
-    home_a, home_b = a[row, table, 0], b[row, table, 0]
-    return np.where(mine[row, table] & yours[row, table], np.minimum(home_a, home_b), np.where(mine[row, table], home_a, home_b))
+    counted, left = np.zeros(len(a), bool), np.arange(len(a))
+    for table in range(own.shape[1]):
+        x, y = own[a[left], table], own[b[left], table]
+        mine, yours = (x[:, :1] == y).any(axis=1), (y[:, :1] == x).any(axis=1)
+        home = np.where(mine & yours, np.minimum(x[:, 0], y[:, 0]), np.where(mine, x[:, 0], y[:, 0]))
+        counted[left[(mine | yours) & (home == bucket)]] = True
+        left = left[~(mine | yours)]
+        if not len(left):
+            break
+    return counted
 
 
 def _block(frame: dict[str, np.ndarray], least: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of one block: (node, how many it has here), and a forest of (node, least node of its tree)."""
     node, n, home, first = (frame[c] for c in ("node", "n", "home", "indexed"))
-    x = np.stack([np.frombuffer(v, dtype=np.float64) for v in frame["vector"]])
-    own = np.stack(frame["buckets"]).reshape(len(node), -1, 1 + probes)
+    x = np.frombuffer(b"".join(frame["vector"]), dtype=np.float64).reshape(len(node), -1)
+    own = frame["buckets"].reshape(len(node), -1, 1 + probes)
     bucket, inner = frame["bucket"][0], bool(frame["inner"].all())
     at = np.flatnonzero(home)
     links, root = np.zeros(len(node), np.int64), np.arange(len(node))
@@ -117,11 +123,13 @@ def _block(frame: dict[str, np.ndarray], least: float, probes: int) -> tuple[np.
         both = home[q]
         keep = (q != h) & (~both | (q > h)) if inner else (first[q] != first[h]) & (~both | ~first[q])
         q, h = q[keep], h[keep]
-        keep = np.einsum("ij,ij->i", x[q], x[h]) >= least
+        keep = _counted(own, q, h, bucket)
         q, h = q[keep], h[keep]
-        keep = _first_meeting(own[q], own[h]) == bucket
-        pairs.append(np.stack([q[keep], h[keep]]))
-    a, b = np.concatenate(pairs, axis=1)
+        for m in range(0, len(q), SLICE):
+            some, others = q[m : m + SLICE], h[m : m + SLICE]
+            keep = np.einsum("ij,ij->i", x[some], x[others]) >= least
+            pairs.append(np.stack([some[keep], others[keep]]))
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
     np.add.at(links, a, n[b])
     np.add.at(links, b, n[a])
     while len(a):
@@ -141,7 +149,7 @@ def _compared(frames: Iterator[pa.RecordBatch], least: float, probes: int) -> It
     names, held, block = ("bucket", "node", "n", "home", "indexed", "inner", "vector", "buckets"), [], None
 
     def closed() -> pa.RecordBatch:
-        rows = {c: np.concatenate([h[c] for h in held]) for c in names[:6]} | {c: [v for h in held for v in h[c]] for c in names[6:]}
+        rows = {c: np.concatenate([h[c] for h in held]) for c in names if c != "vector"} | {"vector": [v for h in held for v in h["vector"]]}
         held.clear()
         counts, forest = _block(rows, least, probes)
         kind = np.concatenate([np.zeros(counts.shape[1], bool), np.ones(forest.shape[1], bool)])
@@ -155,7 +163,8 @@ def _compared(frames: Iterator[pa.RecordBatch], least: float, probes: int) -> It
             if held and ids[low] != block:
                 yield closed()
             block, part = ids[low], frame.slice(low, high - low)
-            held.append({c: part.column(c).to_numpy(zero_copy_only=False) for c in names[:5]} | {"inner": part.column("inner").to_numpy(zero_copy_only=False), "vector": part.column("vector").to_pylist(), "buckets": [v.values.to_numpy() for v in part.column("buckets")]})
+            columns = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names[:6]}
+            held.append(columns | {"vector": part.column("vector").to_pylist(), "buckets": part.column("buckets").flatten().to_numpy().reshape(high - low, -1)})
     if held:
         yield closed()
 
