@@ -145,28 +145,36 @@ def _block(frame: dict[str, np.ndarray], least: float, probes: int) -> tuple[np.
 
 
 def _compared(frames: Iterator[pa.RecordBatch], least: float, probes: int) -> Iterator[pa.RecordBatch]:
-    """Rows by block: gather a block, then compare."""
-    names, held, block = ("bucket", "node", "n", "home", "indexed", "inner", "vector", "buckets"), [], None
+    """Rows by block: gather a block, then compare. What a batch's blocks give leaves as one batch."""
+    names, held, block = ("bucket", "node", "n", "home", "indexed", "inner"), [], None
 
-    def closed() -> pa.RecordBatch:
-        rows = {c: np.concatenate([h[c] for h in held]) for c in names if c != "vector"} | {"vector": [v for h in held for v in h["vector"]]}
+    def closed() -> tuple[np.ndarray, np.ndarray]:
+        rows = {c: np.concatenate([h[c] for h in held]) for c in (*names, "buckets")} | {"vector": [v for h in held for v in h["vector"]]}
         held.clear()
-        counts, forest = _block(rows, least, probes)
-        kind = np.concatenate([np.zeros(counts.shape[1], bool), np.ones(forest.shape[1], bool)])
-        both = np.concatenate([counts, forest], axis=1).astype(np.int64)
+        return _block(rows, least, probes)
+
+    def batch(done: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        counts, forest = (np.concatenate(x, axis=1).astype(np.int64) for x in zip(*done))
+        kind = np.repeat([False, True], [counts.shape[1], forest.shape[1]])
+        both = np.concatenate([counts, forest], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[0]), pa.array(both[1])], ["forest", "a", "b"])
 
     for frame in frames:
-        ids = frame.column("block").to_numpy(zero_copy_only=False)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]) if len(ids) else np.zeros(1, int)
-        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if not frame.num_rows:
+            continue
+        ids, done = frame.column("block").to_numpy(zero_copy_only=False), []
+        columns = {c: frame.column(c).to_numpy(zero_copy_only=False) for c in names}
+        columns |= {"vector": frame.column("vector").to_pylist(), "buckets": frame.column("buckets").flatten().to_numpy().reshape(frame.num_rows, -1)}
+        cut = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for low, high in zip(cut, cut[1:]):
             if held and ids[low] != block:
-                yield closed()
-            block, part = ids[low], frame.slice(low, high - low)
-            columns = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names[:6]}
-            held.append(columns | {"vector": part.column("vector").to_pylist(), "buckets": part.column("buckets").flatten().to_numpy().reshape(high - low, -1)})
+                done.append(closed())
+            block = ids[low]
+            held.append({c: v[low:high] for c, v in columns.items()})
+        if done:
+            yield batch(done)
     if held:
-        yield closed()
+        yield batch([closed()])
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.93, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
