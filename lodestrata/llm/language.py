@@ -21,6 +21,7 @@ from .session import batches
 from .words import U64, as_strings, mix, release, slices
 
 BITS, CHAIN, PIECE = 16, 128, 32
+DEALT = (256, 16, 1)  # groups of partitions that choose training documents together, step by step
 UNKNOWN = "und"
 _OUT = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
 
@@ -101,8 +102,10 @@ def fit(docs: DataFrame, per_language: int = 250, most_rows: int = 16_000, piece
     """
     known = docs.where("lang is not null and doc_id is not null")
     per_language = max(1, min(per_language, most_rows // max(1, known.select("lang").distinct().count())))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    chosen = known.select("lang", "doc_id", F.spark_partition_id().alias("part"))
+    for groups in DEALT:  # of fewer partitions each time, so that no task gets the choices of all partitions
+        by_hash = Window.partitionBy("lang", F.pmod("part", F.lit(groups))).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language).drop("rank")
     chosen = chosen.select("doc_id", "lang").distinct()
     found = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
     sample = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])

@@ -31,3 +31,10 @@ def test_hard_rows(spark, hard, none):
     model = language.fit(language.training_rows(spark.read.parquet(f"{SF}/documents.parquet")))
     kept = language.accepted(hard, model)
     assert kept.columns == hard.columns and kept.where("text is null or trim(text) = ''").count() == 0 and kept.where("doc_id = 1").count() == 1
+
+
+def test_training_documents_are_those_of_the_least_hashes(spark):
+    """Dealt by groups of partitions or not, the same documents teach, so the weights are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    one, many = (language.fit(docs.repartition(n), per_language=5) for n in (1, 40))
+    assert one.languages == many.languages and (one.field.weights == many.field.weights).all()
