@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +33,53 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut: written to the shared folder, so that a lost executor loses nothing."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+_scopes: list[list[str]] = []
 
 
 def table(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it again."""
+    """Write a frame as Parquet to the shared folder and read it again: its lineage is cut, and a lost executor loses nothing."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete what table() wrote for frames that nothing reads any more."""
+    for frame in tables:
+        for folder in {os.path.dirname(file) for file in frame.inputFiles()}:
+            _delete(frame.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that were written meanwhile. A result that is to stay is written by kept()."""
+    scope: list[str] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not scope]
+        for path in scope:
+            _delete(spark, path)
+
+
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """table() of a result that outlives the scratch() around it."""
+    scopes, _scopes[:] = list(_scopes), []
+    try:
+        return table(frame, name)
+    finally:
+        _scopes[:] = scopes
+
+
 BROADCAST_BYTES = 48 << 20  # the most that is marked for broadcast, by a measure of the data itself
 HOT_ROWS = 200_000  # of one key, beyond which its rows are dealt over several tasks
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import batches, join_dealt, join_ones, table
+from .session import batches, drop, join_dealt, join_ones, table
 from .words import U64, Words, _spread, as_strings, mix, slices, window_hashes
 
 WINDOW, ANCHOR = 50, 16
@@ -266,7 +266,9 @@ def _candidates(docs: DataFrame) -> DataFrame:
     lists = marks.groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole", "last", "mixed")).alias("marks"))
     pieces = named.join(lists, "doc_id", "left").select("doc_id", "key", "text", "marks")
     nameless = keyed.where("doc_id is null").withColumn("marks", F.lit(None).cast(pieces.schema["marks"].dataType))
-    return table(pieces.unionByName(nameless.select(pieces.columns)).mapInArrow(_pieces, _PIECE), "pieces")
+    written = table(pieces.unionByName(nameless.select(pieces.columns)).mapInArrow(_pieces, _PIECE), "pieces")
+    drop(all_runs, anchors, shared)
+    return written
 
 
 def _book(runs: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
 import xxhash
 
-from lodestrata.llm import simhash
+from lodestrata.llm import session, simhash
 from lodestrata.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -136,3 +137,28 @@ def test_similar_documents_hard_rows(hard, none):
     assert kept.columns == hard.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 7, 8]
     assert simhash.similar_documents(none).count() == 0
+
+
+def test_hubs_and_hot_buckets_dealt_over_tasks(spark, monkeypatch):
+    edges = [(1, k) for k in range(2, 60)] + [(59, k) for k in range(60, 90)] + [(100, 101), (None, 4), (5, None)]
+    plain = sorted(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    rows = [(k, " ".join(f"w{j}" for j in range(40 + k % 3))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = sorted(simhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(session, "HOT_ROWS", 3)
+    assert sorted(components(spark.createDataFrame(edges, "a long, b long")).collect()) == plain
+    assert len(plain) == 91 and {c for n, c in plain if n < 100} == {1}
+    assert sorted(simhash.near_duplicates(docs).collect()) == groups
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_of_a_scope_are_deleted_and_kept_ones_stay(spark):
+    rows = spark.range(5)
+    with session.scratch(spark):
+        passing = session.table(rows, "passing")
+        with session.scratch(spark):
+            inner = session.kept(passing.where("id > 2"), "inner")
+    folder = os.path.dirname(passing.inputFiles()[0])
+    assert not os.path.exists(folder.removeprefix("file://").removeprefix("file:")) and inner.count() == 2
+    session.drop(inner)
+    assert not os.path.exists(os.path.dirname(inner.inputFiles()[0]).removeprefix("file://").removeprefix("file:"))
