@@ -8,7 +8,7 @@
    That takes aggregates by hash only, so a passage in a third of all documents is no hot group.
 3. Automata. The book is dealt by anchor into shards of bounded size; each is compiled to an Aho-Corasick automaton of its
    anchors. All documents are streamed: every run of every document whose anchor recurs goes, as text, to the shard of that anchor. Where the automaton
-   meets a phrase, the windows around it are looked up in the shard's passages by all their words. Nothing but that says which words go.
+   meets a phrase, the windows around it are looked up in the shard's passages by a 128-bit digest of all their words. Nothing but that says which words go.
    An anchor that streams much is dealt to several tasks, and one whose passages alone outgrow a shard is dealt on by single windows.
 4. The words covered by windows that an earlier document has are cut.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import batches, drop, join_dealt, join_ones, table
-from .words import U64, Words, _spread, as_strings, mix, slices, window_hashes
+from .words import U64, Words, _spread, as_strings, mix, release, slices, window_hashes
 
 WINDOW, ANCHOR = 50, 16
 SHARD_BYTES, STREAM_BYTES = 4 << 20, 32 << 20
@@ -169,7 +169,7 @@ class PhraseBook:
     def __init__(self, passages: list[tuple[int, str]]):
         import ahocorasick
 
-        self.owners: dict[str, int] = {}  # of each window, the first document that has it
+        self.owners: dict[bytes, int] = {}  # of each window, by a 128-bit digest of its words, the first document that has it
         self.automaton = ahocorasick.Automaton()
         for owner, body in passages:
             words = body.split(" ")
@@ -177,11 +177,15 @@ class PhraseBook:
                 self.automaton.add_word(" " + " ".join(words[at : at + ANCHOR]) + " ", True)
             ends = [0, *accumulate(len(w) + 1 for w in words)]
             for p in range(len(words) - WINDOW + 1):
-                window = body[ends[p] : ends[p + WINDOW] - 1]
+                window = self._mark(body[ends[p] : ends[p + WINDOW] - 1])
                 self.owners[window] = min(owner, self.owners.get(window, owner))
         self.automaton.make_automaton()
         self.seen: dict[str, list[tuple[int, int]]] = {}
 
+    @staticmethod
+    def _mark(window: str) -> bytes:
+        return hashlib.blake2b(window.encode(), digest_size=16).digest()
+
     @staticmethod
     def _anchors(body: str) -> list[int]:
         """Where the anchors of a passage's windows stand: in each window the first place of its least hash."""
@@ -197,7 +201,7 @@ class PhraseBook:
         for end, _ in self.automaton.iter(f" {body} "):
             at = bisect_left(ends, end) - ANCHOR  # the word that the phrase begins with
             for p in range(max(open_from, at + ANCHOR - WINDOW), min(at, last) + 1):
-                owner = self.owners.get(body[ends[p] : ends[p + WINDOW] - 1])
+                owner = self.owners.get(self._mark(body[ends[p] : ends[p + WINDOW] - 1]))
                 if owner is not None:
                     found.append((p, owner))
             open_from = max(open_from, at + 1)
@@ -224,7 +228,10 @@ def _located(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for s, kind, owner, doc_id, key, start, body in zip(*(frame.column(c.split()[0]).to_pylist() for c in _DEALT.split(", "))):
             if s != shard:
-                shard, book, passages = s, None, []
+                if book is not None:
+                    book = None
+                    release()
+                shard, passages = s, []
             if kind == _BOOK:
                 passages.append((owner, body))
                 continue
