@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,23 +96,34 @@ def collected(sweeps: DataFrame, grace: int) -> DataFrame:
 
 def expiring(marks: DataFrame, grace: int) -> DataFrame:
     """Chunks erased by a timer: of marks (hash, at: timestamp, ms: the same in milliseconds, live), hash and erased_at, when the watermark passes the end of the grace
-    time of a chunk that was seen dead and not live since. No further observation of the chunk is needed."""
+    time of a chunk that was seen dead and not live since. No further observation of the chunk is needed.
+
+    A chunk seen both dead and live at one millisecond of a micro-batch is live, whichever row comes first. Marks without a hash, a time or an answer say nothing, but a
+    time moves the watermark. The watermark starts at 1970, and nothing is erased before that.
+    """
 
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             due = state.get[0] + grace * 1000
             state.remove()
-            yield pd.DataFrame({"hash": [key[0]], "erased_at": [due // 1000]})
+            yield pd.DataFrame({"hash": [key[0]], "erased_at": [int(due / 1000)]})
             return
-        since = state.get[0] if state.exists else -1
-        for ms, live in _in_order(frames, "ms")[["ms", "live"]].itertuples(index=False):
-            since = -1 if live else int(ms) if since < 0 else since
-        if since < 0:
-            if state.exists:
-                state.remove()
-        else:
+        if pd.isna(key[0]):
+            return
+        rows = list(frames)
+        ms, live = (np.concatenate([x[c].to_numpy() for x in rows]) for c in ("ms", "live"))
+        known = ~(pd.isna(ms) | pd.isna(live))
+        ms, live = ms[known].astype("int64"), live[known].astype(bool)
+        dead = ms[~live].tolist() + ([state.get[0]] if state.exists else [])
+        if live.any():
+            last = int(ms[live].max())
+            dead = [x for x in dead if x > last]
+        if dead:
+            since = min(dead)
             state.update((since,))
             state.setTimeoutTimestamp(max(since + grace * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
 
     return marks.withWatermark("at", "0 seconds").groupBy("hash").applyInPandasWithState(watch, "hash string, erased_at long", "since long", "append", "EventTimeTimeout")
 

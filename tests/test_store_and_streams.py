@@ -64,6 +64,29 @@ def test_a_timer_erases_without_another_observation(spark, tmp_path):
     assert [r["hash"] for r in found] == ["a"]
 
 
+def test_timers_agree_with_sql_on_ties_and_nulls(spark, tmp_path):
+    import datetime
+
+    import duckdb
+    from compare import same
+
+    from lodestrata import queries
+
+    at = lambda s, micro=0: datetime.datetime(2024, 1, 1, 0, 0, s, micro)
+    marks = [("live", at(9)), ("error", at(9)), *[(kind, at(k % 5)) for kind in ("error", "live") for k in range(20)]]
+    rows = [(when, user, kind) for user in (1, 2) for kind, when in (marks if user == 1 else marks[::-1])]
+    rows += [(at(3, 400), 3, "error"), (at(3, 900), 3, "live"), (at(4, 900), 4, "live"), (at(4, 950), 4, "error"), (at(5), 4, "error"), (at(5), 5, "error"), (at(7), 5, "error")]
+    rows += [(at(5), 6, None), (at(5), None, "error"), (None, 7, "error"), (None, 8, "live"), (at(6), 8, "error"), (at(6), 9, "error"), (at(8), 9, None)]
+    rows += [(at(9) + datetime.timedelta(days=1), 10, None)]
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    table.selectExpr("*", "0D AS value", "'' AS props").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = queries.QUERIES["stream_gc_expiry"](spark, f"file://{tmp_path}")
+    assert {r["hash"] for r in found.collect()} == {"4", "5", "8", "9"}
+    same(found, con, queries.ORACLES["stream_gc_expiry"])
+
+
 def test_late_rows_are_dropped_outside_complete_mode(spark, tmp_path):
     schema = "ts timestamp, event_type string"
     day = lambda d: __import__("datetime").datetime(2024, 1, d)
