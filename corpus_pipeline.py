@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by a Jaccard similarity of 0.8 or more of their five-word shingles.
 
-    The least doc_id of a group stays; of rows that share it, the least one. Rows with a null doc_id are in no group: one of each text stays.
+    Pairs are found by SimHash fingerprints in BK-trees and checked by the sets of shingles. The least doc_id of a group stays; of rows that share it, the least one. Rows with a null doc_id are in no group: one of each text stays.
     """
     return simhash.distinct(docs, shingle=simhash.STAGE_SHINGLE)
 

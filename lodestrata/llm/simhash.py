@@ -6,8 +6,9 @@ key form a shard, and each shard is a BK-tree whose children are keyed by their
 A search follows only the edges within the radius. The trees are built where their queries are instead of being
 broadcast: what a broadcast would hold grows with the corpus. A shard too large for one task is several trees, each met by a part of the shard at a time (see buckets.py).
 
-Stages ask for a Jaccard similarity of longer shingles instead, which fingerprints tell too roughly: similar_documents finds candidates
-by least values of the shingle sets and compares the sets.
+Stages ask for a Jaccard similarity of longer shingles instead. Its pairs are found by the same means, with longer fingerprints of the shingle sets and a radius wide
+enough for that similarity, and then checked by the sets themselves. At that radius blocks of bits no longer part the fingerprints, so the shards are made by least
+values of the sets: see similar_documents.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from .buckets import blocks
 from .components import components
 from .session import batches, table
-from .words import Words, as_strings, mix, slices
+from .words import Words, as_strings, mix, ragged, slices
 
 SHINGLE, SEED, RADIUS, TREE = 3, 42, 2, 4096
 # For stages: words a shingle, and the least Jaccard similarity in hundredths; bands of least values and values a band; sets a shard.
 STAGE_SHINGLE, STAGE_PERCENT, BANDS, ROWS, SHARD = 5, 80, 64, 6, 512
+# 64-bit words of a stage's fingerprint, and its radius. At a similarity of 0.8 a bit differs with a probability of at most 0.1875, for sets of four and five (0.162 for all
+# others), so a pair is further apart with 4e-10 at most; unrelated pairs are within the radius with 6e-7. With one word 65 % of those would be.
+STAGE_WORDS, STAGE_RADIUS = 4, 89
 
 
 def shingled(texts: pa.Array, shingle: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +118,14 @@ class BKTree:
             if distance <= radius:
                 yield at
             below = self.children[at]
-            if below:
+            if len(below) > 2 * radius:
                 for edge in range(distance - radius, distance + radius + 1):
                     if edge in below:
                         waiting.append(below[edge])
+            else:
+                for edge, node in below.items():
+                    if abs(edge - distance) <= radius:
+                        waiting.append(node)
 
 
 def _links(frames: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -181,6 +189,16 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, list[np.nda
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], dtype=np.uint64), sets
 
 
+def set_fingerprint(values: np.ndarray) -> bytes:
+    """STAGE_WORDS * 64 bits: a bit is set if it is set in over half of the set's hashes, each drawn out to as many bits. The first 64 are the hashes' own."""
+    bits = np.zeros(STAGE_WORDS * 64, dtype=np.int64)
+    for low in range(0, len(values), 200):
+        own = values[low : low + 200]
+        drawn = np.stack([own] + [mix(own + np.uint64(k)) for k in range(1, STAGE_WORDS)], axis=1)
+        bits += np.add.reduce(np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * bits > len(values), bitorder="little").tobytes()
+
+
 def _band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BANDS keys for each set, none of them empty: each key hashes ROWS least values of the set under random orders."""
     draw = np.random.default_rng(SEED)
@@ -219,20 +237,21 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, shingles, members: the set's hashes) of each row."""
+    """(doc_id, shingles, members: the set's hashes, fingerprint: the set's) of each row."""
     batches(docs.sparkSession)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             marks, sets = shingle_sets(as_strings(frame.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "shingles", "members"])
+            columns = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([set_fingerprint(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([frame.column("doc_id"), pa.array(marks.view(np.int64)), *columns], ["doc_id", "shingles", "members", "fingerprint"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, shingles long, members binary")
+    return rows.mapInArrow(run, "doc_id long, shingles long, members binary, fingerprint binary")
 
 
 class Shard:
-    """The sets of a block, to be compared with all at once: the sizes of their intersections with one more set."""
+    """The sets of a block: the sizes of their intersections with one more set."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(x) for x in sets])
@@ -240,41 +259,48 @@ class Shard:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.has = np.zeros(len(self.known), dtype=bool)
 
-    def similar(self, values: np.ndarray, percent: int) -> np.ndarray:
-        """The numbers of the sets whose Jaccard similarity to `values` is `percent` or more; in whole numbers, so exact."""
+    def similar(self, values: np.ndarray, among: list[int], percent: int) -> list[int]:
+        """The numbers among `among` of the sets whose Jaccard similarity to `values` is `percent` or more; in whole numbers, so exact."""
+        if not among:
+            return []
         at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
         at = at[self.known[at] == values]
         self.has[at] = True
-        both = np.add.reduceat(self.has[self.codes], self.starts, dtype=np.int64)
+        sizes = self.sizes[among]
+        both = np.add.reduceat(self.has[ragged(self.codes, self.starts[among], sizes)], np.cumsum(sizes) - sizes, dtype=np.int64)
         self.has[at] = False
-        return np.flatnonzero(100 * both >= percent * (self.sizes + len(values) - both))
+        return [among[k] for k in np.flatnonzero(100 * both >= percent * (sizes + len(values) - both)).tolist()]
 
 
 def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each block links that join whatever the links of all its similar pairs join."""
-    block, nodes, sets, shard, root, out, inside = None, [], [], None, {}, [], True
+    """For each block links that join whatever the links of all its similar pairs join: those that its BK-tree finds within the radius, and the sets confirm."""
+    block, nodes, prints, sets, shard, tree, root, out, inside = None, [], [], [], None, None, {}, [], True
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    def look(node: int, values: np.ndarray) -> None:
+    def look(node: int, value: int, values: np.ndarray) -> None:
         near = {}
-        for at in shard.similar(values, percent).tolist():
+        for at in shard.similar(values, sorted(tree.search(value, STAGE_RADIUS)), percent):
             near.setdefault(top(nodes[at]), nodes[at])
-        out.extend((node, x) for x in near.values() if x != node)
+        out.extend((node, x) for x in near.values())
         least = min(near, default=node)
         for x in near:
             root[x] = least
+        if node in root:
+            root[node] = least
 
     def close() -> None:
-        nonlocal shard
+        nonlocal shard, tree
         if sets and shard is None:
-            shard = Shard(sets)
+            shard, tree = Shard(sets), BKTree()
             root.update((x, x) for x in nodes)
-            for node, values in zip(nodes, sets) if inside else ():
-                look(node, values)
+            for node, value, values in zip(nodes, prints, sets):
+                if inside:
+                    look(node, value, values)
+                tree.add(value)
 
     def drained() -> pa.RecordBatch:
         columns = list(zip(*out)) or [(), ()]
@@ -282,18 +308,19 @@ def _similar(frames: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
     for frame in frames:
-        for b, indexed, inner, node, members in zip(*(frame.column(c).to_pylist() for c in ("block", "indexed", "inner", "node", "members"))):
+        for b, indexed, inner, node, members, value in zip(*(frame.column(c).to_pylist() for c in ("block", "indexed", "inner", "node", "members", "fingerprint"))):
             if b != block:
                 close()
-                block, nodes, sets, shard, root, inside = b, [], [], None, {}, inner
-            values = np.frombuffer(members, dtype=np.uint64)
+                block, nodes, prints, sets, shard, tree, root, inside = b, [], [], [], None, None, {}, inner
+            value, values = int.from_bytes(value, "little"), np.frombuffer(members, dtype=np.uint64)
             if indexed:
                 nodes.append(node)
+                prints.append(value)
                 sets.append(values)
             else:
                 close()
                 if shard is not None:
-                    look(node, values)
+                    look(node, value, values)
         yield drained()
     close()
     yield drained()
@@ -303,9 +330,10 @@ def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: in
     """Link documents whose sets of `shingle`-word shingles have a Jaccard similarity of `percent` in a hundred or more, and find the groups they form.
 
     One row per row of `docs`: doc_id, shingles (a hash of the set), component_id, as in near_duplicates. Documents without a word are
-    one another's copies. Sets that share the key of a band, by whatever chain, are a cluster, and all pairs of
-    a cluster's sets are compared exactly. A pair at a similarity of 0.8 shares no key with a probability of
-    (1 - 0.8**ROWS)**BANDS = 4e-9, less for those above; nothing else loses a pair.
+    one another's copies. Sets that share the key of a band, by whatever chain, are a cluster, the bucket of shards. Each shard is a BK-tree of
+    its sets' fingerprints, and each set is searched for in all trees of its cluster; what a tree finds within the radius is compared exactly. A pair at a
+    similarity of 0.8 shares no key with a probability of (1 - 0.8**ROWS)**BANDS = 4e-9, and is beyond the radius with 4e-10 at most, less for those above; nothing else
+    loses a pair.
     """
     found = table(_signed(docs, shingle), "shingles")
     nodes = table(found.where("doc_id is not null").groupBy("shingles").agg(F.min("doc_id").alias("node")), "sets")
@@ -315,10 +343,10 @@ def similar_documents(docs: DataFrame, shingle: int = STAGE_SHINGLE, percent: in
     clusters = components(keyed.join(heads, "key").select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b").distinct())
     clusters = table(nodes.join(clusters, "node").select("node", "shingles", "component"), "clusters")
     wanted = docs.join(clusters.select(F.col("node").alias("_lodestrata_node")).distinct(), docs["doc_id"].cast("long") == F.col("_lodestrata_node"), "left_semi")
-    members = _sets(wanted, shingle).select("shingles", "members").join(clusters, "shingles").dropDuplicates(["shingles"])
-    members = table(members.select("node", "shingles", "component", "members"), "members")
+    members = _sets(wanted, shingle).select("shingles", "members", "fingerprint").join(clusters, "shingles").dropDuplicates(["shingles"])
+    members = table(members.select("node", "shingles", "component", "members", "fingerprint"), "members")
     batches(docs.sparkSession)
-    links = blocks(members, "component", "shingles", SHARD).select("block", "indexed", "inner", "node", "members").mapInArrow(lambda frames: _similar(frames, percent), "a long, b long")
+    links = blocks(members, "component", "shingles", SHARD).select("block", "indexed", "inner", "node", "members", "fingerprint").mapInArrow(lambda frames: _similar(frames, percent), "a long, b long")
     groups = components(links)
     heads = nodes.join(groups, nodes["node"] == groups["node"], "left").select("shingles", F.coalesce("component", nodes["node"]).alias("component_id"))
     return found.select("doc_id", "shingles").join(heads, "shingles", "left").select("doc_id", "shingles", "component_id")

@@ -4,6 +4,8 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 
 from lodestrata.llm import session, simhash
@@ -124,6 +126,49 @@ def test_similar_documents_against_all_pairs(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == root
 
 
+def test_links_of_similar_sets_come_from_the_tree(monkeypatch):
+    draw = np.random.default_rng(5)
+    sets = []
+    for size in (4, 8, 40, 400):
+        base = draw.integers(0, 1 << 64, size=size, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[:keep], draw.integers(0, 1 << 64, size=size // 8, dtype=np.uint64)])) for keep in (size, size - size // 8, size // 2) for _ in range(3)]
+    similar = {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+
+    def groups(links):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    def found(queries):
+        rows = [(1, k < queries, queries == len(sets), k, x.tobytes(), simhash.set_fingerprint(x)) for k, x in enumerate(sets)]
+        frame = pa.RecordBatch.from_pylist([dict(zip(("block", "indexed", "inner", "node", "members", "fingerprint"), r)) for r in rows])
+        return {tuple(r.values()) for out in simhash._similar(iter([frame.slice(0, 7), frame.slice(7)]), 80) for r in out.to_pylist()}
+
+    assert similar and found(len(sets)) <= similar and groups(found(len(sets))) == groups(similar)
+    assert found(20) <= {(a, b) for a, b in similar if a >= 20 > b} and {a for a, _ in found(20)} == {a for a, b in similar if a >= 20 > b}
+    monkeypatch.setattr(simhash.BKTree, "search", lambda self, value, radius: iter(()))
+    assert found(len(sets)) == set()
+
+
+def test_the_radius_of_a_stage_holds_pairs_at_its_similarity():
+    draw = np.random.default_rng(6)
+    far = []
+    for size in (4, 5, 8, 12, 20, 28, 100, 1000):
+        for _ in range(200):
+            values = draw.integers(0, 1 << 64, size=size + 2 * size, dtype=np.uint64)
+            own = size // 4
+            cut = int(draw.integers(0, own + 1))
+            a, b, other = values[: size + cut], np.concatenate([values[:size], values[size + cut : size + own]]), values[2 * size :]
+            assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+            x, y, z = (int.from_bytes(simhash.set_fingerprint(np.unique(v)), "little") for v in (a, b, other))
+            assert (x ^ y).bit_count() <= simhash.STAGE_RADIUS
+            far.append((x ^ z).bit_count())
+            assert x & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(int(v) >> k & 1 for v in a) > len(a)) or size > 28
+    assert sum(d <= simhash.STAGE_RADIUS for d in far) <= 1
+
+
 def test_the_stage_keeps_no_pair_of_similar_documents(spark):
     import corpus_pipeline
 
