@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .crf import Field, chains, forward_backward, token_scores, train
 from .quality import remainder
-from .session import batches
+from .session import batches, trim
 from .words import U64, as_strings, mix, release, slices
 
-BITS, CHAIN, PIECE = 16, 128, 32
+BITS, CHAIN, PIECE, FEATURED = 16, 128, 32, 4096
 DEALT = (256, 16, 1)  # groups of partitions that choose training documents together, step by step
 UNKNOWN = "und"
 _OUT = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
@@ -128,11 +128,24 @@ def fit(docs: DataFrame, per_language: int = 250, most_rows: int = 16_000, piece
     for r in np.flatnonzero(draw.random(len(tokens)) < 0.5).tolist():
         cut = int(draw.integers(4, PIECE - 4))
         tokens[r, cut:], tags[r, cut:] = made[other[r]][cut:], marks[other[r]]
-    flat, at = word_features(words, bits)
+    flat, at = _features_of_many(words, bits)
     drawn = draw.permutation(len(tokens))
     own = np.array(marks)[drawn]
     order = drawn[np.sort(np.concatenate([np.flatnonzero(own == x)[:pieces] for x in range(len(languages))]))]
-    return Model(languages, train(flat, at, tokens[order], tags[order], field, rounds))
+    model = Model(languages, train(flat, at, tokens[order], tags[order], field, rounds))
+    release()
+    trim(docs.sparkSession)
+    return model
+
+
+def _features_of_many(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """word_features(), found FEATURED words at a time: what it holds meanwhile is many times the result, and the driver has little memory."""
+    found, sizes = [], []
+    for low in range(0, len(words), FEATURED):
+        flat, at = word_features(words.slice(low, FEATURED), bits)
+        found.append(flat.astype(np.int32))
+        sizes.append(np.diff(at))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def _predicted(texts: pa.Array, languages: list[str], weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +43,33 @@ def table(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    trim(spark)
     for scope in _scopes:
         scope.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def trim(spark: SparkSession) -> str:
+    """Have the driver's JVM and Python give freed native memory back to the system; what the JVM says of it.
+
+    The C library keeps what the many threads that plan, compile and broadcast have freed, each in an arena of its own, and a driver of many queries grows
+    by that. Where the JVM or the C library can't do it, nothing happens.
+    """
+    with suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # The interface's method by reflection: the server's own class isn't open to py4j.
+        kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values))
+    except Py4JError:
+        return ""
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what table() wrote for frames that nothing reads any more."""
     for frame in tables:

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+import tracemalloc
+
+import pyarrow as pa
+
 from lodestrata.llm import language
 from lodestrata.llm.queries import QUERIES
 
@@ -38,3 +43,22 @@ def test_training_documents_are_those_of_the_least_hashes(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     one, many = (language.fit(docs.repartition(n), per_language=5) for n in (1, 40))
     assert one.languages == many.languages and (one.field.weights == many.field.weights).all()
+
+
+def test_training_holds_little_memory_of_the_driver(spark):
+    draw = random.Random(4)
+    rows = [(k, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(500)), "ab"[k % 2]) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["a", "b"] and peak < 60 << 20
+
+
+def test_features_of_many_words_are_those_of_the_words(monkeypatch):
+    words = pa.array(["", "a", "\u00fcber", "word", "x" * 40, "\u65e5\u672c"] * 7)
+    monkeypatch.setattr(language, "FEATURED", 5)
+    for some in (words, words.slice(3, 11), words.slice(2, 1)):
+        for one, many in zip(language.word_features(some), language._features_of_many(some, language.BITS)):
+            assert one.tolist() == many.tolist()

@@ -207,3 +207,10 @@ def test_tables_of_a_scope_are_deleted_and_kept_ones_stay(spark):
     assert not os.path.exists(folder.removeprefix("file://").removeprefix("file:")) and inner.count() == 2
     session.drop(inner)
     assert not os.path.exists(os.path.dirname(inner.inputFiles()[0]).removeprefix("file://").removeprefix("file:"))
+
+
+def test_the_driver_gives_native_memory_back_with_each_table(spark, monkeypatch):
+    told, trim = [], session.trim
+    monkeypatch.setattr(session, "trim", lambda s: told.append(trim(s)))
+    session.table(spark.range(5), "trimmed")
+    assert len(told) == 1 and "native heap" in told[0]
