@@ -8,7 +8,8 @@
    That takes aggregates by hash only, so a passage in a third of all documents is no hot group.
 3. Automata. The book is dealt by anchor into shards of bounded size; each is compiled to an Aho-Corasick automaton of its
    anchors. All documents are streamed: every run of every document whose anchor recurs goes, as text, to the shard of that anchor. Where the automaton
-   meets a phrase, the windows around it are looked up in the shard's passages by a 128-bit digest of all their words. Nothing but that says which words go.
+   meets a phrase, the run is compared, as a whole, with the passage of that phrase; where it differs, or several passages have the phrase, the windows around the
+   phrase are looked up in these passages by a 128-bit digest of all their words. Nothing but that says which words go.
    An anchor that streams much is dealt to several tasks, and one whose passages alone outgrow a shard is dealt on by single windows.
 4. The words covered by windows that an earlier document has are cut.
 """
@@ -50,13 +51,18 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (n - size)], values[n - size :]) if n > size and len(values) > n - size else values if n == size else values[:0]
 
 
-def anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window within one text: its first word, its text's number and its anchor; then the words' hashes."""
-    hashes = words.hashes()
-    least = _least(window_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
+def _windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window within one text: its first word and its text's number."""
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    at = np.flatnonzero(np.arange(len(hashes)) + WINDOW <= words.first[1:][row]) if len(hashes) else np.zeros(0, np.int64)
-    return at, row[at], least[at] if len(at) else np.zeros(0, U64)
+    at = np.flatnonzero(np.arange(len(row)) + WINDOW <= words.first[1:][row]) if len(row) else np.zeros(0, np.int64)
+    return at, row[at]
+
+
+def anchored(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window within one text: its first word, its text's number and its anchor."""
+    least = _least(window_hashes(words.hashes(), ANCHOR), WINDOW - ANCHOR + 1)
+    at, row = _windows(words)
+    return at, row, least[at] if len(at) else np.zeros(0, U64)
 
 
 def _runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,30 +90,52 @@ def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _marked(marks: pa.ListArray, row: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs with these texts' numbers, anchors and hashes, those that their texts' marks name, and the mark of each: the one with `last`, if any."""
+    fields = marks.flatten()
+    size = marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    pairs = ((np.repeat(np.arange(len(marks)), size), row), *((fields.field(c).to_numpy(zero_copy_only=False), x) for c, x in (("anchor", anchor), ("whole", whole))))
+    keys = [np.concatenate(x) for x in pairs]
+    n = len(fields)
+    rank = np.full(n + len(row), 2, np.int8)  # with equal keys: marks with `last`, other marks, runs
+    rank[:n] = fields.field("last").is_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((rank, *keys))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys])
+    source = np.empty(len(order), np.int64)
+    source[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    found = np.flatnonzero(source[n:] < n)
+    return found, source[n:][found]
+
+
 def _pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts of the runs that are marked, and whole texts that may lose words; of other texts only what they come to."""
+    schema = pa.schema([(c, _TYPES[k]) for c, k in (x.split() for x in _PIECE.split(", "))])
+
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in schema], schema=schema)
+
     for frame in frames:
-        texts, marks = as_strings(frame.column("text")), frame.column("marks")
-        ids, keys = (frame.column(c).to_pylist() for c in ("doc_id", "key"))
+        texts = as_strings(frame.column("text"))
         for low, high in slices(texts):
-            some, out = Words(texts.slice(low, high - low)), []
+            ids, keys, marks = (frame.column(c).slice(low, high - low) for c in ("doc_id", "key", "marks"))
+            some = Words(texts.slice(low, high - low))
             row, begin, size, anchor, whole = _runs(some)
-            first = np.searchsorted(row, np.arange(high - low + 1))
-            for r in range(high - low):
-                doc_id, key, text, known = ids[low + r], keys[low + r], texts[low + r].as_py(), {}
-                words = text.encode().split()
-                for x in marks[low + r].as_py() or ():
-                    if x["last"] is not None or (x["anchor"], x["whole"]) not in known:
-                        known[x["anchor"], x["whole"]] = (x["last"], x["mixed"])
-                own = slice(first[r], first[r + 1])
-                found = len(out)
-                for b, n, a, w in zip((begin[own] - some.first[r]).tolist(), size[own].tolist(), anchor[own].tolist(), whole[own].tolist()) if known else ():
-                    if (a, w) in known:
-                        last, mixed = known[a, w]
-                        out.append((_RUN, a, doc_id, key, b, last is not None, last, mixed, b" ".join(words[b : b + n + WINDOW - 1]).decode(), 0, None))
-                whole_text = len(out) > found
-                out.append((_WHOLE if whole_text else _DONE, None, doc_id, key, 0, None, None, None, text if whole_text else None, len(words), None if whole_text else _digest(words)))
-            yield _batch(out, _PIECE)
+            found, mark = _marked(marks, row, anchor, whole)
+            data, of = some.data.tobytes(), row[found]
+            ends = some.end[begin[found] + size[found] + WINDOW - 2]
+            bodies = [b" ".join(data[a:b].split()) for a, b in zip(some.start[begin[found]].tolist(), ends.tolist())]
+            last, mixed = (marks.flatten().field(c).take(pa.array(mark)) for c in ("last", "mixed"))
+            yield batch(
+                len(found), kind=pa.array(np.full(len(found), _RUN)), anchor=pa.array(anchor[found]), doc_id=ids.take(pa.array(of)), key=keys.take(pa.array(of)), start=pa.array(begin[found] - some.first[of]),
+                owned=last.is_valid(), last=last, mixed=mixed, body=pa.array(bodies, pa.binary()), n_words=pa.array(np.zeros(len(found), np.int64)),
+            )
+            may = np.zeros(high - low, dtype=bool)
+            may[of] = True
+            digests = [None if m else _digest(data[a:b].split()) for m, a, b in zip(may.tolist(), some.bytes.tolist(), some.bytes[1:].tolist())]
+            body = texts.take(pa.array(np.arange(low, high), mask=~may))
+            kinds, zeros = pa.array(np.where(may, _WHOLE, _DONE)), pa.array(np.zeros(high - low, np.int64))
+            yield batch(high - low, kind=kinds, doc_id=ids, key=keys, start=zeros, body=body, n_words=pa.array(np.diff(some.first)), kept_sha256=pa.array(digests, pa.string()))
 
 
 def _single(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +197,19 @@ class PhraseBook:
     def __init__(self, passages: list[tuple[int, str]]):
         import ahocorasick
 
-        self.owners: dict[bytes, int] = {}  # of each window, by a 128-bit digest of its words, the first document that has it
+        self.passages = passages
+        having: dict[str, list[int]] = {}  # of each anchor, the passages that have it
+        for k, phrase in self._anchors([body for _, body in passages]):
+            found = having.setdefault(phrase, [])
+            if k not in found[-1:]:
+                found.append(k)
+        # Equal windows have equal anchors, so no other passage has a window of one that shares no anchor.
+        some, shared = ({k for found in having.values() if len(found) > least for k in found} for least in (0, 1))
+        self.alone = {passages[k][1]: passages[k][0] for k in some - shared}
+        self.owners: dict[bytes, int] = {}  # of each window, by a 128-bit digest of its words, the first document that has it; of passages as they are met
         self.automaton = ahocorasick.Automaton()
-        for owner, body in passages:
-            words = body.split(" ")
-            for at in self._anchors(body):
-                self.automaton.add_word(" " + " ".join(words[at : at + ANCHOR]) + " ", True)
-            ends = [0, *accumulate(len(w) + 1 for w in words)]
-            for p in range(len(words) - WINDOW + 1):
-                window = self._mark(body[ends[p] : ends[p + WINDOW] - 1])
-                self.owners[window] = min(owner, self.owners.get(window, owner))
+        for phrase, found in having.items():
+            self.automaton.add_word(f" {phrase} ", found)
         self.automaton.make_automaton()
         self.seen: dict[str, list[tuple[int, int]]] = {}
 
@@ -187,21 +218,46 @@ class PhraseBook:
         return hashlib.blake2b(window.encode(), digest_size=16).digest()
 
     @staticmethod
-    def _anchors(body: str) -> list[int]:
-        """Where the anchors of a passage's windows stand: in each window the first place of its least hash."""
-        found = window_hashes(Words(pa.array([body])).hashes(), ANCHOR)
-        span = WINDOW - ANCHOR + 1
-        near = np.lib.stride_tricks.sliding_window_view(found, span) if len(found) >= span else np.zeros((0, span))
-        return np.unique(np.arange(len(near)) + near.argmin(axis=1)).tolist() if len(near) else []
+    def _anchors(bodies: list[str]) -> Iterator[tuple[int, str]]:
+        """Number and words of the anchors of each passage: in each window the first place of its least hash."""
+        texts = pa.array(bodies, pa.string())
+        for low, high in slices(texts, 1 << 20):
+            some = Words(texts.slice(low, high - low))
+            at, row = _windows(some)
+            if not len(at):
+                continue
+            near = np.lib.stride_tricks.sliding_window_view(window_hashes(some.hashes(), ANCHOR), WINDOW - ANCHOR + 1)
+            place = at + np.concatenate([near[part].argmin(axis=1) for part in np.split(at, range(1 << 16, len(at), 1 << 16))])
+            place, first = np.unique(place, return_index=True)
+            data = some.data.tobytes()
+            for k, a, b in zip((low + row[first]).tolist(), some.start[place].tolist(), some.end[place + ANCHOR - 1].tolist()):
+                yield k, data[a:b].decode()
+
+    @staticmethod
+    def _ends(body: str) -> list[int]:
+        """Where each word begins, and one place beyond the last word's following space."""
+        return [0, *accumulate([len(w) + 1 for w in body.split(" ")])]
+
+    def _learn(self, owner: int, body: str) -> None:
+        ends = self._ends(body)
+        for text in {body[a : b - 1] for a, b in zip(ends, ends[WINDOW:])}:
+            window = self._mark(text)
+            self.owners[window] = min(owner, self.owners.get(window, owner))
 
     def _met(self, body: str) -> list[tuple[int, int]]:
         """Place and owner of each window of `body` around a phrase of the book that is in the book as a whole."""
-        ends = [0, *accumulate(len(w) + 1 for w in body.split(" "))]
+        hits = list(self.automaton.iter(f" {body} "))
+        for _, having in hits:
+            while having:
+                self._learn(*self.passages[having.pop()])
+        ends = self._ends(body) if hits else []
         last, found, open_from = len(ends) - 1 - WINDOW, [], 0
-        for end, _ in self.automaton.iter(f" {body} "):
+        known: dict[str, int | None] = {}
+        for end, _ in hits:
             at = bisect_left(ends, end) - ANCHOR  # the word that the phrase begins with
             for p in range(max(open_from, at + ANCHOR - WINDOW), min(at, last) + 1):
-                owner = self.owners.get(self._mark(body[ends[p] : ends[p + WINDOW] - 1]))
+                window = body[ends[p] : ends[p + WINDOW] - 1]
+                owner = known[window] if window in known else known.setdefault(window, self.owners.get(self._mark(window)))
                 if owner is not None:
                     found.append((p, owner))
             open_from = max(open_from, at + 1)
@@ -209,6 +265,9 @@ class PhraseBook:
 
     def locate(self, doc_id: int, body: str) -> list[tuple[int, int]]:
         """Word ranges of `body` that are passages of documents before doc_id, WINDOW words or more each."""
+        owner = self.alone.get(body)
+        if owner is not None:
+            return [(0, body.count(" ") + 1)] if owner < doc_id and next(self.automaton.iter(f" {body} "), None) else []
         found = self.seen.get(body)
         if found is None:
             if len(self.seen) >= 4096:

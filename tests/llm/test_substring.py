@@ -71,6 +71,36 @@ def test_only_the_automaton_finds_passages():
     assert book.locate(5, body) == []
 
 
+def test_copies_are_told_by_their_passage_and_not_window_by_window(monkeypatch):
+    mark, calls = substring.PhraseBook._mark, []
+    monkeypatch.setattr(substring.PhraseBook, "_mark", staticmethod(lambda window: calls.append(window) or mark(window)))
+    passages = [" ".join(f"p{j}" for j in range(70)), "a b " * 99 + "a b", " ".join(f"q{j % 7}" for j in range(300))]
+    book = substring.PhraseBook([(3 + k, body) for k, body in enumerate(passages)])
+    for doc_id in range(40):
+        for k, body in enumerate(passages):
+            assert book.locate(doc_id, body) == ([(0, body.count(" ") + 1)] if doc_id > 3 + k else [])
+    assert not calls
+    other = "a b " * 60 + "c"
+    assert book.locate(9, other) == [(0, 120)] and len(calls) == 5  # two windows of the passage, three of the other text, each once
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_book_of_passages_that_share_phrases(seed):
+    draw = random.Random(seed)
+    lines = [[f"w{draw.randrange(30)}" for _ in range(draw.randrange(16, 60))] for _ in range(6)] + [["und"] * 60, ["é", "b"] * 30]
+    some = lambda: sum((draw.choice(lines) if draw.random() < 0.7 else [f"x{draw.randrange(9)}"] * draw.randrange(1, 20) for _ in range(3)), [])
+    passages = [(draw.randrange(50), some()) for _ in range(40)]
+    owners: dict[tuple, int] = {}
+    for owner, w in passages:
+        for p in range(len(w) - 49):
+            owners[tuple(w[p : p + 50])] = min(owner, owners.get(tuple(w[p : p + 50]), owner))
+    book = substring.PhraseBook([(owner, " ".join(w)) for owner, w in passages])
+    for w in [w for _, w in passages] + [some() for _ in range(60)]:
+        for doc_id in (0, 10, 25, 60):
+            places = [p for p in range(len(w) - 49) if owners.get(tuple(w[p : p + 50]), doc_id) < doc_id]
+            assert book.locate(doc_id, " ".join(w)) == [(a, b + 50) for a, b in substring._stretches(places)]
+
+
 def test_hard_rows(hard, none):
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()]
     assert sorted((tuple(r) for r in substring.cut_repeats(hard).collect()), key=repr) == brute(rows)
